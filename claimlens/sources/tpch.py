@@ -3,14 +3,17 @@
 The mapping is pure integer arithmetic and CASE logic, so it is map-only apart
 from two joins and two aggregations:
 
-* ``claims`` needs the customer's nation (orders ⋈ customer on the customer
-  key, a sort-merge join on two large tables; AQE splits a hot customer) and
-  the supplier count (a one-value scalar subquery).
+* ``claims`` looks up the customer's nation (orders LEFT JOIN customers keyed
+  by customer id; a sort-merge join on two large tables at scale, where AQE
+  splits a hot customer) and needs the supplier count (a one-value scalar
+  subquery). Because the customer side is grouped by its key, the join is
+  provably at most one match per order, and Catalyst removes it entirely from
+  every report that does not read the claim region.
 * the two bridges are ``DISTINCT`` pairs from ``lineitem`` (partial
   aggregation before the shuffle). The "first code of the claim" flag is a
-  per-claim ``min`` computed by aggregation and joined back, not by a window,
-  so one claim with a huge number of lines never lands in a single task; and
-  when a report does not select the flag, Catalyst prunes that branch away.
+  per-claim ``min`` computed by aggregation and left-joined back, not by a
+  window, so one claim with a huge number of lines never lands in a single
+  task; when a report does not select the flag, Catalyst drops the join.
 
 Every function returns a lazy DataFrame: nothing is computed until a report
 runs, and only the columns a report needs are read from Parquet.
@@ -91,9 +94,10 @@ def claims(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataF
     sex_bucket = cust % 100
     priority = F.substring(F.col("o_orderpriority"), 1, 1)
     paid = closed & (decision != "Rejected")
+    nation_of = customer.groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"))
     joined = orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    ).join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    ).join(nation_of, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.select(
         key.alias("claim_id"),
         F.concat(
@@ -137,11 +141,13 @@ def _first_of_claim(pairs: DataFrame, item: str) -> DataFrame:
     """Add ``is_first``: the pair holds the smallest ``item`` of its claim.
 
     The per-claim minimum is an aggregation (partial, then shuffled by claim)
-    and joined back on the claim id; AQE's skew-join handling splits a claim
-    with an outsized number of pairs.
+    and left-joined back on the claim id; AQE's skew-join handling splits a
+    claim with an outsized number of pairs. Every pair's claim has a minimum,
+    so the left join equals an inner join, and being a left join against a
+    grouped (unique) key it is removed by the optimizer when the flag is unused.
     """
     firsts = pairs.groupBy("claim_id").agg(F.min(item).alias("_first"))
-    return pairs.join(firsts, "claim_id").select(
+    return pairs.join(firsts, "claim_id", "left").select(
         "claim_id", item, (F.col(item) == F.col("_first")).alias("is_first")
     )
 
