@@ -68,9 +68,11 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 
 def write_quarantined(df: DataFrame, rules: Sequence[Rule], path: str, mode: str = "overwrite") -> None:
-    """Write good and bad rows in one pass, split by a ``quarantined`` partition column."""
-    tagged = tag_failures(df, rules).withColumn("quarantined", F.size(FAILED) > 0)
-    tagged.write.mode(mode).partitionBy("quarantined").parquet(path)
+    """Write good and bad rows in one pass, split by a ``dq_status`` partition
+    column (``pass`` / ``quarantine``), so each side is its own folder."""
+    status = F.when(F.size(FAILED) > 0, "quarantine").otherwise("pass")
+    tagged = tag_failures(df, rules).withColumn("dq_status", status)
+    tagged.write.mode(mode).partitionBy("dq_status").parquet(path)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], count_name: str = "copies") -> DataFrame:

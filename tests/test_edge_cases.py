@@ -1,0 +1,202 @@
+"""Hand-written fixtures for semantics the derived data does not reach."""
+
+from __future__ import annotations
+
+import decimal
+
+from conftest import D, claim, make_model, provider
+from pyspark.sql import functions as F
+
+from claimlens.plans import checks, presentation, reports, views
+
+Dec = decimal.Decimal
+
+
+def rows_by(df, key):
+    return {r[key]: r.asDict() for r in df.collect()}
+
+
+def test_provider_without_claims(spark):
+    m = make_model(spark, providers=[provider(1), provider(2)],
+                   claims=[claim(1, D(2024, 1, 5), "Closed", "Approved", D(2024, 1, 9), 100, provider_id=1)])
+    v3 = rows_by(views.v3_provider_summary(m), "provider_id")
+    assert v3[2]["total_claims"] == 0 and v3[2]["closed_claims"] == 0
+    assert v3[2]["approval_rate_closed"] is None and v3[2]["avg_processing_days_closed"] is None
+    assert v3[2]["total_payout_nok"] == Dec("0.00")
+    assert v3[1]["total_claims"] == 1 and v3[1]["approval_rate_closed"] == 1.0
+    assert v3[1]["avg_processing_days_closed"] == 4.0
+
+
+def test_open_claim_with_decision_date_creates_month(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 5)),
+        claim(2, D(2024, 1, 6), "InReview", None, D(2024, 3, 2)),
+    ])
+    v1 = rows_by(views.v1_monthly_kpi(m), "month_start_date")
+    assert set(v1) == {D(2024, 1, 1), D(2024, 3, 1)}
+    march = v1[D(2024, 3, 1)]
+    assert march["claims_received"] == 0 and march["closed_claims"] == 0
+    assert march["approval_rate_closed"] is None and march["rejected_rate_closed"] is None
+    assert march["total_payout_nok"] == Dec("0.00") and march["avg_processing_days_closed"] is None
+
+
+def test_closed_without_decision_date(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 5), "Closed", "Approved", None, 100),
+    ])
+    v2 = views.v2_region_kpi(m).collect()[0]
+    assert v2.closed_claims == 1 and v2.total_payout_nok == Dec("100.00")
+    assert v2.avg_processing_days_closed is None
+    v3 = views.v3_provider_summary(m).collect()[0]
+    assert v3.closed_claims == 1 and v3.total_payout_nok == Dec("100.00")
+    v1 = views.v1_monthly_kpi(m).collect()
+    assert [(r.closed_claims, r.total_payout_nok) for r in v1] == [(0, Dec("0.00"))]
+    assert reports.i03_days_by_care_level(m).count() == 0
+    assert reports.q09a_avg_days_overall(m).collect()[0].avg_processing_days is None
+
+
+def test_month_received_only(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[claim(1, D(2024, 5, 5), "InReview")])
+    r = views.v1_monthly_kpi(m).collect()[0]
+    assert (r.claims_received, r.closed_claims, r.approval_rate_closed, r.total_payout_nok,
+            r.avg_processing_days_closed) == (1, 0, None, Dec("0.00"), None)
+
+
+def test_cross_month_close(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 31), "Closed", "Approved", D(2024, 2, 1), 10),
+    ])
+    i01 = rows_by(reports.i01_monthly_kpi(m), "month")
+    assert set(i01) == {D(2024, 1, 1)} and i01[D(2024, 1, 1)]["closed_count"] == 1
+    v1 = rows_by(views.v1_monthly_kpi(m), "month_start_date")
+    assert v1[D(2024, 1, 1)]["closed_claims"] == 0 and v1[D(2024, 2, 1)]["closed_claims"] == 1
+
+
+def test_partial_approval_rates(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 2), "Closed", "PartiallyApproved", D(2024, 1, 5), 50),
+    ])
+    assert reports.i01_monthly_kpi(m).collect()[0].approval_rate_closed_pct == Dec("0.0")
+    assert reports.i02_approval_by_region(m).collect()[0].approval_rate_pct == Dec("0.0")
+    assert views.v1_monthly_kpi(m).collect()[0].approval_rate_closed == 1.0
+    assert views.v2_region_kpi(m).collect()[0].approval_rate_closed == 1.0
+    assert views.v3_provider_summary(m).collect()[0].approval_rate_closed == 1.0
+
+
+def test_region_without_backlog_and_without_closed(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 2), "Closed", "Approved", D(2024, 1, 5), 5, region="Oslo"),
+        claim(2, D(2024, 1, 2), "InReview", region="Agder"),
+    ])
+    i04 = rows_by(reports.i04_backlog_by_region(m), "region")
+    assert i04["Oslo"]["backlog_total"] == 0 and i04["Oslo"]["inreview_count"] == 0
+    assert set(rows_by(reports.i02_approval_by_region(m), "region")) == {"Oslo"}
+    v2 = rows_by(views.v2_region_kpi(m), "region")
+    assert v2["Agder"]["approval_rate_closed"] is None and v2["Agder"]["total_payout_nok"] == Dec("0.00")
+
+
+def test_rank_ties(spark):
+    provs = [provider(1, "Beta", region="Oslo"), provider(2, "Alpha", region="Viken"),
+             provider(3, "Alpha", region="Agder")]
+    cl = []
+    cid = 0
+    for pid in (1, 2, 3):
+        for _ in range(2):
+            cid += 1
+            cl.append(claim(cid, D(2024, 1, 2), "Closed", "Approved", D(2024, 1, 3), 100,
+                            provider_id=pid, region="Oslo"))
+    m = make_model(spark, providers=provs, claims=cl)
+    i05 = reports.i05_top_provider_per_region(m).collect()
+    assert [(r.region, r.provider_id) for r in i05] == [("Oslo", 1)]
+    q08 = reports.q08_top_providers(m, k=2).collect()
+    assert [(r.provider_name, r.provider_region) for r in q08] == [("Alpha", "Agder"), ("Alpha", "Viken")]
+    i08 = reports.i08_top_payouts(m, k=3).collect()
+    assert [r.claim_id for r in i08] == [1, 2, 3]
+
+
+def test_half_up_rounding(spark):
+    # 1 of 16 approved = 6.25 % -> 6.3 ; average of 0.01 and 0.00 = 0.005 -> 0.01
+    cl = [claim(i, D(2024, 1, 2), "Closed", "Approved" if i == 1 else "Rejected", D(2024, 1, 3),
+                100 if i == 1 else 0) for i in range(1, 17)]
+    m = make_model(spark, providers=[provider(1)], claims=cl)
+    assert reports.i02_approval_by_region(m).collect()[0].approval_rate_pct == Dec("6.3")
+    m2 = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 2), "Closed", "Approved", D(2024, 1, 3), "0.01"),
+        claim(2, D(2024, 1, 2), "Closed", "Approved", D(2024, 1, 3), "0.00"),
+    ])
+    assert reports.s5_amount_stats(m2).collect()[0].avg_amount == Dec("0.01")
+    # 12.35 %: 247 of 2000 approved
+    cl3 = [claim(i, D(2024, 1, 2), "Closed", "Approved" if i <= 247 else "Rejected", D(2024, 1, 3), 0)
+           for i in range(1, 2001)]
+    m3 = make_model(spark, providers=[provider(1)], claims=cl3)
+    assert reports.i02_approval_by_region(m3).collect()[0].approval_rate_pct == Dec("12.4")
+    assert reports.q03_decision_share_closed(m3).filter("decision = 'Approved'").collect()[0] \
+        .pct_of_closed == Dec("12.35")
+
+
+def test_average_has_no_double_rounding(spark):
+    # 1,250,000 x 0.01 and 1,250,001 x 0.00: exact mean 0.0049999980 -> 0.00
+    n_cent, n_zero = 1_250_000, 1_250_001
+    claims = spark.range(n_cent + n_zero).select(
+        F.col("id").alias("claim_id"),
+        F.when(F.col("id") < n_cent, F.lit("0.01")).otherwise(F.lit("0.00"))
+        .cast("decimal(12,2)").alias("claim_amount_nok"),
+    )
+    m = make_model(spark).replace(claims=claims)
+    assert reports.s5_amount_stats(m).collect()[0].avg_amount == Dec("0.00")
+    # and the naive avg() would have said 0.01
+    assert claims.agg(F.round(F.avg("claim_amount_nok"), 2)).collect()[0][0] == Dec("0.01")
+
+
+def test_dst_span_is_two_days(spark):
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Oslo")
+    try:
+        m = make_model(spark, providers=[provider(1)], claims=[
+            claim(1, D(2024, 3, 30), "Closed", "Approved", D(2024, 4, 1), 10),
+        ])
+        assert views.v2_region_kpi(m).collect()[0].avg_processing_days_closed == 2.0
+        assert reports.i03_days_by_care_level(m).collect()[0].max_days == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
+
+
+def test_empty_claims(spark):
+    m = make_model(spark)
+    q00 = reports.q00_dataset_sanity(m).collect()[0]
+    assert q00.claims_count == 0 and q00.providers_count == 0 and q00.min_received_date is None
+    assert reports.q02_status_share(m).count() == 0
+    assert reports.q03_decision_share_closed(m).count() == 0
+    i09 = reports.i09_dq_summary(m).collect()
+    assert len(i09) == 1 and all(v is None for v in i09[0])
+    assert views.v1_monthly_kpi(m).count() == 0
+    assert views.v3_provider_summary(m).count() == 0
+
+
+def test_inactive_dimension_still_counted(spark):
+    m = make_model(
+        spark, providers=[provider(1)],
+        claims=[claim(1, D(2024, 1, 2))],
+        medical_codes=[{"medical_code_id": 7, "code_system": "ICD10", "code": "I01.7", "code_title": "t",
+                        "active": False, "created_at": None}],
+        claim_medical_codes=[{"claim_id": 1, "medical_code_id": 7, "code_role": "Primary"}],
+    )
+    assert [(r.medical_code_id, r.usage_count) for r in reports.q10_top_codes(m).collect()] == [(7, 1)]
+    assert [(r.region, r.code_uses) for r in reports.i06_top_code_per_region(m).collect()] == [("Oslo", 1)]
+
+
+def test_null_check_semantics(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[claim(1, D(2024, 1, 2), "InReview")])
+    wl = {(r.table_name, r.rule): r.violations for r in checks.c_whitelist(m).collect()}
+    assert wl[("claims", "allowed_decision")] == 0
+    rules = {r.rule: r.violations for r in checks.c_claim_rules(m).collect()}
+    assert rules["decision_after_received"] == 0 and rules["closed_iff_decision"] == 0
+
+
+def test_latest_month_card(spark):
+    m = make_model(spark, providers=[provider(1)], claims=[
+        claim(1, D(2024, 1, 20), "Closed", "Approved", D(2024, 2, 10), 1),
+    ])
+    assert presentation.p1_latest_month_kpis(m).collect()[0].month_start_date == D(2024, 2, 1)
+    assert presentation.p1_latest_month_kpis(m, require_received=True).collect()[0].month_start_date \
+        == D(2024, 1, 1)
