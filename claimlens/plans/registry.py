@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.plans import checks, presentation, reports, views
+from claimlens.sources import synth
 from claimlens.sources.model import ClaimsModel
 from claimlens.sources.tpch import derive_model
 
@@ -49,3 +50,30 @@ REPORTS.update({
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Derive the claims model from the driver tables in ``sf_dir`` and run one report."""
     return REPORTS[name](derive_model(spark, sf_dir))
+
+
+def _without_audit(df: DataFrame) -> DataFrame:
+    return df.drop("created_at")
+
+
+# Generator outputs; claim ids are the driver's order keys (+1), so the volume
+# follows the orders table.
+GENERATED: dict[str, ModelQuery] = {
+    "g4_claims": lambda m: _without_audit(m.claims),
+    "g5_claim_medical_codes": lambda m: _without_audit(m.claim_medical_codes),
+    "g6_claim_injuries": lambda m: _without_audit(m.claim_injuries),
+}
+
+
+def run_generated(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    model = synth.generated_from_table(spark, synth.orders_ids(spark, sf_dir))
+    return GENERATED[name](model)
+
+
+ALL = list(REPORTS) + list(GENERATED)
+
+
+def run_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in GENERATED:
+        return run_generated(spark, sf_dir, name)
+    return run(spark, sf_dir, name)
