@@ -68,11 +68,12 @@ def _finish(df: DataFrame, keys: list[str], with_total: bool = True) -> DataFram
     return df.select(*cols)
 
 
-def v1_monthly_kpi(m: ClaimsModel) -> DataFrame:
+def monthly_kpi(claims: DataFrame) -> DataFrame:
     """Month grain: receipts by received month, closures by decision month.
 
     The month spine holds every month with a received date or any decision
     date (also of claims that are not Closed). One scan, one aggregation.
+    Works on a batch or a streaming claims DataFrame.
     """
 
     def aggs(opened: Column, closing: Column) -> list[Column]:
@@ -87,7 +88,7 @@ def v1_monthly_kpi(m: ClaimsModel) -> DataFrame:
         ]
 
     monthly = dual_date_monthly(
-        m.claims.select("received_date", "decision_date", "status", "decision", "claim_amount_nok"),
+        claims.select("received_date", "decision_date", "status", "decision", "claim_amount_nok"),
         "received_date",
         "decision_date",
         aggs,
@@ -100,17 +101,26 @@ def v1_monthly_kpi(m: ClaimsModel) -> DataFrame:
         ratio(c("_rejected"), c("closed_claims")).alias("rejected_rate_closed"),
         F.coalesce(c("_payout"), zero_amount()).alias("total_payout_nok"),
         ratio(c("_days"), c("closed_claims")).alias("avg_processing_days_closed"),
-    ).orderBy("month_start_date")
+    )
 
 
-def v2_region_kpi(m: ClaimsModel) -> DataFrame:
-    """Claim-region grain, one grouped aggregation with filtered aggregates."""
-    per_region = m.claims.groupBy("region").agg(
+def region_kpi(claims: DataFrame) -> DataFrame:
+    """Claim-region grain, one grouped aggregation with filtered aggregates
+    (batch or streaming claims)."""
+    per_region = claims.groupBy("region").agg(
         *_kpis(is_closed(), is_closed() & has_dates(), F.count(F.lit(1)))
     )
     return _finish(per_region, ["region"])
 
 
+def v1_monthly_kpi(m: ClaimsModel) -> DataFrame:
+    return monthly_kpi(m.claims).orderBy("month_start_date")
+
+
+def v2_region_kpi(m: ClaimsModel) -> DataFrame:
+    return region_kpi(m.claims)
+
+
 def v3_provider_summary(m: ClaimsModel) -> DataFrame:
     """Provider grain; providers without claims keep a row (0 claims, NULL rates).
 
