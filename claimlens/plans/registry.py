@@ -47,9 +47,30 @@ REPORTS.update({
 })
 
 
+# Lazy model plans per (session, source folder). Only the DataFrame *plans* are
+# kept -- no data is cached, every report still reads the files -- so building
+# the six derived tables (a few thousand JVM calls) is paid once per session,
+# as a user holding the model in variables would.
+_MODELS: dict[tuple[int, str], tuple[SparkSession, ClaimsModel]] = {}
+
+
+def model_for(spark: SparkSession, sf_dir: str) -> ClaimsModel:
+    key = (id(spark), sf_dir)
+    hit = _MODELS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, derive_model(spark, sf_dir))
+        _MODELS[key] = hit
+    return hit[1]
+
+
+def forget_models() -> None:
+    """Drop the remembered plans (e.g. after the source files were rewritten)."""
+    _MODELS.clear()
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Derive the claims model from the driver tables in ``sf_dir`` and run one report."""
-    return REPORTS[name](derive_model(spark, sf_dir))
+    """Run one report over the claims model derived from the driver tables in ``sf_dir``."""
+    return REPORTS[name](model_for(spark, sf_dir))
 
 
 def _without_audit(df: DataFrame) -> DataFrame:
