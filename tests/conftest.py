@@ -22,7 +22,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", app_name="claimlens-tests", shuffle_partitions=4)
+    session = build_session(
+        "local[4]", app_name="claimlens-tests", shuffle_partitions=4,
+        conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="claimlens-test-warehouse-")},
+    )
     if not session.conf.get("spark.checkpoint.dir", None):
         session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="claimlens-test-ckpt-"))
     shared_dir(session)

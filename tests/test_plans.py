@@ -78,3 +78,30 @@ def test_filters_and_columns_reach_the_scan(stored):
     plan = physical(reports.q04_amount_by_decision(stored))
     assert "PushedFilters: [IsNotNull(status), EqualTo(status,Closed), IsNotNull(decision)]" in plan, plan
     assert "ReadSchema: struct<status:string,decision:string,claim_amount_nok:decimal(12,2)>" in plan
+
+
+def test_bucketed_model_joins_claims_and_bridge_without_shuffle(spark, small_model, tmp_path):
+    small_model.save_bucketed("claims_bucketed", str(tmp_path / "tables"), buckets=4)
+    bucketed = ClaimsModel.from_tables(spark, "claims_bucketed")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = reports.i06_top_code_per_region(bucketed)
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        lines = plan.splitlines()
+        join = next(i for i, ln in enumerate(lines) if "SortMergeJoin [claim_id" in ln)
+        below = lines[join + 1:]
+        claims_scan = next(i for i, ln in enumerate(below) if "claims_bucketed.claims[" in ln)
+        bridge_scan = next(i for i, ln in enumerate(below) if "claims_bucketed.claim_medical_codes[" in ln)
+        assert not any("Exchange" in ln for ln in below[: max(claims_scan, bridge_scan)]), plan
+        assert "Bucketed: true" in below[claims_scan] and "Bucketed: true" in below[bridge_scan]
+        plain = sorted(map(tuple, reports.i06_top_code_per_region(small_model).collect()))
+        assert sorted(map(tuple, df.collect())) == plain
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
