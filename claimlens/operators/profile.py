@@ -9,7 +9,7 @@ collection into one task); ``approx=True`` switches to HyperLogLog++.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,3 @@ def row_counts(tables: Mapping[str, DataFrame], name_col: str = "table_name",
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
-
-
-def one_row(anchor: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """A single row of scalar columns, anchored on a one-row aggregate of ``anchor``."""
-    return anchor.agg(F.count(F.lit(1)).alias("_n")).select(*columns)

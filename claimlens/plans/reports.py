@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import (
     AMOUNT_SUM_T,
-    AMOUNT_T,
-    DAYS_T,
     count_where,
     days_between,
-    exact_avg,
     month_start,
     pct,
+    sum_where,
 )
 from claimlens.operators import (
     count_by,
@@ -28,6 +26,7 @@ from claimlens.operators import (
     row_count,
     row_counts,
     share_of_total,
+    summary_stats,
     top_k,
     top_k_with_lookup,
     top_per_group,
@@ -108,18 +107,12 @@ def q03_decision_share_closed(m: ClaimsModel) -> DataFrame:
 
 
 def q04_amount_by_decision(m: ClaimsModel) -> DataFrame:
-    amount = c("claim_amount_nok")
-    return (
-        m.claims.filter(is_closed() & c("decision").isNotNull())
-        .groupBy("decision")
-        .agg(
-            F.count(F.lit(1)).alias("claim_count"),
-            exact_avg(amount, 2).alias("avg_amount_nok"),
-            F.sum(amount).cast(AMOUNT_SUM_T).alias("sum_amount_nok"),
-            F.max(amount).cast(AMOUNT_T).alias("max_amount_nok"),
-        )
-        .orderBy(c("claim_count").desc(), "decision")
-    )
+    return summary_stats(
+        m.claims, ["decision"], c("claim_amount_nok"), ["count", "avg", "sum", "max"], dp=2,
+        where=is_closed() & c("decision").isNotNull(),
+        names={"count": "claim_count", "avg": "avg_amount_nok", "sum": "sum_amount_nok",
+               "max": "max_amount_nok"},
+    ).orderBy(c("claim_count").desc(), "decision")
 
 
 def q05_claims_by_region(m: ClaimsModel) -> DataFrame:
@@ -153,21 +146,15 @@ def q08_top_providers(m: ClaimsModel, k: int = 10) -> DataFrame:
 
 
 def q09a_avg_days_overall(m: ClaimsModel) -> DataFrame:
-    return m.claims.filter(processed()).agg(
-        exact_avg(processing_days(), 2, integral=True).alias("avg_processing_days")
-    )
+    return summary_stats(m.claims, [], processing_days(), ["avg"], dp=2, where=processed(),
+                         names={"avg": "avg_processing_days"}, integral=True)
 
 
 def q09b_avg_days_by_region(m: ClaimsModel) -> DataFrame:
-    return (
-        m.claims.filter(processed())
-        .groupBy("region")
-        .agg(
-            F.count(F.lit(1)).alias("closed_claims"),
-            exact_avg(processing_days(), 2, integral=True).alias("avg_processing_days"),
-        )
-        .orderBy(c("avg_processing_days").desc_nulls_first(), c("closed_claims").desc(), "region")
-    )
+    return summary_stats(
+        m.claims, ["region"], processing_days(), ["count", "avg"], dp=2, where=processed(),
+        names={"count": "closed_claims", "avg": "avg_processing_days"}, integral=True,
+    ).orderBy(c("avg_processing_days").desc_nulls_first(), c("closed_claims").desc(), "region")
 
 
 def q10_top_codes(m: ClaimsModel, k: int = 10) -> DataFrame:
@@ -203,8 +190,7 @@ def i01_monthly_kpi(m: ClaimsModel) -> DataFrame:
             F.count(F.lit(1)).alias("claims_received"),
             count_where(is_closed()).alias("closed_count"),
             count_where(approved).alias("approved_closed"),
-            F.sum(F.when(is_closed(), c("claim_amount_nok")).otherwise(F.lit(0).cast(AMOUNT_T)))
-            .alias("payout"),
+            sum_where(is_closed(), "claim_amount_nok").alias("payout"),
         )
         .select(
             "month",
@@ -225,17 +211,11 @@ def i02_approval_by_region(m: ClaimsModel) -> DataFrame:
 
 
 def i03_days_by_care_level(m: ClaimsModel) -> DataFrame:
-    return (
-        m.claims.filter(processed())
-        .groupBy("care_level")
-        .agg(
-            F.count(F.lit(1)).alias("closed_count"),
-            F.min(processing_days()).cast(DAYS_T).alias("min_days"),
-            exact_avg(processing_days(), 1, integral=True).alias("avg_days"),
-            F.max(processing_days()).cast(DAYS_T).alias("max_days"),
-        )
-        .orderBy(c("avg_days").desc_nulls_first(), "care_level")
-    )
+    return summary_stats(
+        m.claims, ["care_level"], processing_days(), ["count", "min", "avg", "max"], dp=1, where=processed(),
+        names={"count": "closed_count", "min": "min_days", "avg": "avg_days", "max": "max_days"},
+        integral=True,
+    ).orderBy(c("avg_days").desc_nulls_first(), "care_level")
 
 
 def i04_backlog_by_region(m: ClaimsModel) -> DataFrame:
@@ -355,16 +335,11 @@ def s3_open_with_decision(m: ClaimsModel) -> DataFrame:
 
 
 def s4_received_range(m: ClaimsModel) -> DataFrame:
-    return m.claims.agg(
-        F.min("received_date").alias("min_received_date"),
-        F.max("received_date").alias("max_received_date"),
-    )
+    return summary_stats(m.claims, [], c("received_date"), ["min", "max"],
+                         names={"min": "min_received_date", "max": "max_received_date"})
 
 
 def s5_amount_stats(m: ClaimsModel) -> DataFrame:
-    amount = c("claim_amount_nok")
-    return m.claims.agg(
-        F.min(amount).cast(AMOUNT_T).alias("min_amount"),
-        F.max(amount).cast(AMOUNT_T).alias("max_amount"),
-        exact_avg(amount, 2).alias("avg_amount"),
-    )
+    """Over all claims, zero amounts included."""
+    return summary_stats(m.claims, [], c("claim_amount_nok"), ["min", "max", "avg"], dp=2,
+                         names={"min": "min_amount", "max": "max_amount", "avg": "avg_amount"})

@@ -1,11 +1,12 @@
 """Synthetic claims data, generated as a Spark job at any size.
 
-Randomness is a hash, not a random stream: every draw is
-``uniform(seed, row id, salt)`` = first 8 hex digits of
-``md5("<seed>:<id>:<salt>")`` / 2^32. A row's values therefore depend only on
-its id, never on partitioning, task order or retries (a lost executor
-recomputes identical rows), and any SQL engine with ``md5`` can reproduce
-them.
+Randomness is a hash, not a random stream: a draw is 8 hex digits of
+``md5("<seed>:<id>:<salt>")`` / 2^32, and one digest yields four draws (hex
+digits 1-8, 9-16, 17-24, 25-32). A row's values therefore depend only on its
+id, never on partitioning, task order or retries (a lost executor recomputes
+identical rows), and any SQL engine with ``md5`` can reproduce them. Digests
+are computed in their own projection, once per row and salt group; Spark
+does not collapse a projection when that would repeat a costly expression.
 
 Tables:
 
@@ -14,10 +15,11 @@ Tables:
 * ``claims``: one row per id of an id column (``spark.range`` or any table's
   key), map-only.
 * the two bridges: each claim samples k active codes / injury types without
-  replacement. The dimension ids travel as one array (a scalar subquery over
-  the dimension, whose size is fixed by construction), are ordered per claim
-  by their hash, and the first k are exploded: map-only, no join, no
-  per-claim LIMIT.
+  replacement. The sorted active ids travel as one array (a scalar subquery
+  over the dimension, whose size is fixed by construction); the first k steps
+  of a Fisher-Yates shuffle of that array, unrolled into ``element_at`` and
+  CASE expressions, pick a uniformly random k-subset in random order from k
+  draws per claim. Map-only, no join, no per-claim LIMIT, no lambda.
 
 ``draws="chained"`` reproduces the source generator, where every ``WHEN
 random() < t`` of a CASE takes a fresh draw (so thresholds act as
@@ -79,24 +81,63 @@ DEFAULT_AS_OF = dt.date(2024, 12, 31)
 REFERENCE_WIDTH = 10  # claim_reference digits; 6 would repeat above 999,999 claims
 
 
+SLOTS = 4  # uniforms per md5 digest
+
+
+def digest(seed: int, row_id: Column, salt: str) -> Column:
+    """Hex md5 of "<seed>:<id>:<salt>"."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string"), F.lit(f":{salt}")))
+
+
+def from_digest(hex_digest: Column, slot: int) -> Column:
+    """The ``slot``-th (0..3) uniform in [0, 1) of a digest."""
+    return F.conv(F.substring(hex_digest, 8 * slot + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
 def uniform(seed: int, row_id: Column, salt: str) -> Column:
-    """Deterministic U[0,1) from (seed, id, salt)."""
-    text = F.concat(F.lit(f"{seed}:"), row_id.cast("string"), F.lit(f":{salt}"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    """A single deterministic U[0,1) from (seed, id, salt)."""
+    return from_digest(digest(seed, row_id, salt), 0)
+
+
+def digest_groups(salt: str, n_draws: int) -> list[str]:
+    """Salt groups whose digests hold ``n_draws`` draws."""
+    return [f"{salt}:{g}" for g in range(-(-n_draws // SLOTS))]
+
 
+def draw_u(salt: str, i: int) -> Column:
+    """The i-th (0-based) draw of ``salt`` from the projected digest columns."""
+    return from_digest(F.col(f"_d_{salt}:{i // SLOTS}"), i % SLOTS)
 
-def draw(choices: Sequence[tuple[str, float | None]], seed: int, row_id: Column, salt: str,
-         draws: str = "chained") -> Column:
-    """CASE WHEN u < t1 THEN v1 WHEN u < t2 THEN v2 ... ELSE v_last."""
-    single = uniform(seed, row_id, salt)
+
+def draw(choices: Sequence[tuple[str, float | None]], salt: str, draws: str = "chained") -> Column:
+    """CASE WHEN u < t1 THEN v1 WHEN u < t2 THEN v2 ... ELSE v_last.
+
+    ``chained``: every WHEN takes a fresh draw; ``cumulative``: one draw.
+    Reads the digest columns of ``salt`` (see :func:`_with_digests`).
+    """
     out = F.lit(choices[-1][0])
     for i in range(len(choices) - 2, -1, -1):
         value, threshold = choices[i]
-        u = uniform(seed, row_id, f"{salt}:{i + 1}") if draws == "chained" else single
+        u = draw_u(salt, i if draws == "chained" else 0)
         out = F.when(u < threshold, value).otherwise(out)
     return out
 
 
+# Draws of one claim: (salt, number of draws).
+CLAIM_DRAWS = [
+    ("misc", 7), ("status", len(STATUS_DRAWS) - 1), ("sex", len(SEX_DRAWS) - 1),
+    ("care", len(CARE_DRAWS) - 1), ("region", len(REGION_DRAWS) - 1), ("decision", len(DECISION_DRAWS) - 1),
+]
+# Slots of the "misc" salt.
+MISC = {"received": 0, "age": 1, "decision_days": 2, "amount_kind": 3, "amount_a": 4, "amount_b": 5,
+        "amount_c": 6}
+
+
+def _with_digests(df: DataFrame, seed: int, row_id: str, plan: Sequence[tuple[str, int]]) -> DataFrame:
+    cols = [digest(seed, F.col(row_id), g).alias(f"_d_{g}") for salt, n in plan for g in digest_groups(salt, n)]
+    return df.select("*", *cols)
+
+
 def _ts() -> Column:
     return F.lit("2000-01-01 00:00:00").cast(T.TimestampType())
 
@@ -180,31 +221,31 @@ def claims(
     provider ids 1..n.
     """
     seq = F.col(id_col)
-    u = lambda salt: uniform(seed, seq, salt)
+    u = lambda name: draw_u("misc", MISC[name])
     as_of_lit = F.lit(as_of)
     received = F.date_sub(as_of_lit, F.floor(u("received") * RECEIVED_WINDOW_DAYS).cast("int"))
-    status = draw(STATUS_DRAWS, seed, seq, "status", draws)
+    status = draw(STATUS_DRAWS, "status", draws)
     closed = status == "Closed"
-    decision = draw(DECISION_DRAWS, seed, seq, "decision", draws)
+    decision = draw(DECISION_DRAWS, "decision", draws)
     amount = F.when(
         u("amount_kind") < AMOUNT_SMALL_SHARE,
         u("amount_a") * u("amount_b") * F.lit(AMOUNT_SMALL_SCALE),
     ).otherwise(F.lit(AMOUNT_LARGE_BASE) + u("amount_c") * F.lit(AMOUNT_LARGE_SPAN))
     amount_t = S.CLAIMS["claim_amount_nok"].dataType
     n = n_providers if isinstance(n_providers, Column) else F.lit(n_providers)
-    return ids.select(id_col).select(
+    return _with_digests(ids.select(id_col), seed, id_col, CLAIM_DRAWS).select(
         seq.cast("bigint").alias("claim_id"),
         F.concat(F.lit("CLM-"), F.lit(as_of.strftime("%Y%m%d")), F.lit("-"),
                  F.lpad(seq.cast("string"), REFERENCE_WIDTH, "0")).alias("claim_reference"),
         F.floor(u("age") * AGE_SPAN).cast(T.ShortType()).alias("patient_age"),
-        draw(SEX_DRAWS, seed, seq, "sex", draws).alias("patient_sex"),
-        draw(REGION_DRAWS, seed, seq, "region", draws).alias("region"),
+        draw(SEX_DRAWS, "sex", draws).alias("patient_sex"),
+        draw(REGION_DRAWS, "region", draws).alias("region"),
         received.alias("received_date"),
         F.when(closed, F.date_add(received, (F.lit(1) + F.floor(u("decision_days") * DECISION_MAX_DAYS))
                                   .cast("int"))).alias("decision_date"),
         status.alias("status"),
         F.when(closed, decision).alias("decision"),
-        draw(CARE_DRAWS, seed, seq, "care", draws).alias("care_level"),
+        draw(CARE_DRAWS, "care", draws).alias("care_level"),
         F.when(closed & (decision != "Rejected"), amount.cast(amount_t))
         .otherwise(F.lit(0).cast(amount_t)).alias("claim_amount_nok"),
         ((seq - 1) % n + 1).cast("bigint").alias("provider_id"),
@@ -217,34 +258,45 @@ def sample_per_claim(
     dim: DataFrame,
     dim_key: str,
     k: Column,
+    k_max: int,
     seed: int,
     salt: str,
 ) -> DataFrame:
-    """For every claim, k distinct active dimension ids, with their 1-based pick order.
+    """For every claim, ``k`` (<= ``k_max`` <= 4) distinct active dimension ids
+    with their 1-based pick order.
 
-    The active ids form one array (scalar subquery; the dimension has a fixed
-    size). Per claim the array is ordered by (hash of claim and id, id), and
-    the first k are exploded with their position. Map-only over claims.
+    Partial Fisher-Yates over the sorted pool P of active ids (n = |P|): step j
+    draws r_j = j + floor(u_j * (n - j)), takes A_j[r_j] and swaps it into
+    place. Entries of A_j are expressions over P, so each pick is a CASE over
+    ``element_at`` -- k draws from one digest per claim, no sort, no lambda.
     """
     pool = dim.filter(F.col("active")).agg(F.array_sort(F.collect_list(dim_key))).scalar()
-    cid = F.col("claim_id")
-    keyed = F.transform(
-        F.col("_pool"),
-        lambda x: F.struct(uniform(seed, F.concat_ws(":", cid.cast("string"), x.cast("string")), salt)
-                           .alias("u"), x.alias("v")),
+    n = F.size(F.col("_pool"))
+    base = claims_df.select(
+        "claim_id", k.alias("_k"), pool.alias("_pool"), digest(seed, F.col("claim_id"), salt).alias("_d")
     )
-    picked = F.slice(F.array_sort(keyed), 1, k)
-    return (
-        claims_df.select("claim_id", pool.alias("_pool"))
-        .select("claim_id", F.posexplode(picked).alias("pos", "pick"))
-        .select("claim_id", F.col("pick.v").alias(dim_key), (F.col("pos") + 1).alias("pick_order"))
+    base = base.select("*", *[
+        F.when(n > j, F.lit(j) + F.floor(from_digest(F.col("_d"), j) * (n - j)).cast("int")).alias(f"_r{j}")
+        for j in range(k_max)
+    ])
+
+    def entry(j: int, x: Column) -> Column:
+        # A_j[x] for x >= j (0-based); A_0 = P
+        if j == 0:
+            return F.element_at(F.col("_pool"), x + 1)
+        return F.when(x == F.col(f"_r{j - 1}"), entry(j - 1, F.lit(j - 1))).otherwise(entry(j - 1, x))
+
+    picks = [F.when(n > j, entry(j, F.col(f"_r{j}"))) for j in range(k_max)]
+    chosen = F.slice(F.array(*picks), 1, F.least(F.col("_k"), n))
+    return base.select("claim_id", F.posexplode(chosen).alias("pos", dim_key)).select(
+        "claim_id", dim_key, (F.col("pos") + 1).alias("pick_order")
     )
 
 
 def claim_medical_codes(claims_df: DataFrame, codes: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     """(claim_id % 3) + 1 codes per claim; the first pick is the Primary code."""
     k = (F.col("claim_id") % 3 + 1).cast("int")
-    picks = sample_per_claim(claims_df, codes, "medical_code_id", k, seed, "cmc")
+    picks = sample_per_claim(claims_df, codes, "medical_code_id", k, 3, seed, "cmc")
     return picks.select(
         "claim_id", "medical_code_id",
         F.when(F.col("pick_order") == 1, "Primary").otherwise("Secondary").alias("code_role"),
@@ -255,7 +307,7 @@ def claim_medical_codes(claims_df: DataFrame, codes: DataFrame, seed: int = DEFA
 def claim_injuries(claims_df: DataFrame, injuries: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
     """(claim_id % 2) + 1 injury types per claim; the first pick is primary."""
     k = (F.col("claim_id") % 2 + 1).cast("int")
-    picks = sample_per_claim(claims_df, injuries, "injury_type_id", k, seed, "ci")
+    picks = sample_per_claim(claims_df, injuries, "injury_type_id", k, 2, seed, "ci")
     return picks.select(
         "claim_id", "injury_type_id", (F.col("pick_order") == 1).alias("is_primary"), _ts().alias("created_at"),
     )

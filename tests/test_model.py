@@ -46,3 +46,15 @@ def test_model_roundtrip(spark, small_model, tmp_path):
     for name, df in stored.tables().items():
         assert df.count() == EXPECTED[name]
         assert df.exceptAll(small_model.tables()[name]).count() == 0, name
+
+
+def test_publish_views_registers_and_extracts(spark, small_model, tmp_path):
+    from claimlens.plans.views import publish_views, v2_region_kpi
+
+    out = publish_views(spark, small_model, str(tmp_path / "extract"))
+    assert set(out) == {"vw_monthly_kpi", "vw_region_kpi", "vw_provider_summary"}
+    assert spark.table("vw_region_kpi").count() == v2_region_kpi(small_model).count()
+    extract = spark.read.parquet(str(tmp_path / "extract" / "vw_provider_summary"))
+    assert extract.count() == 10 and "approval_rate_closed" in extract.columns
+    small_model.register(prefix="t_")
+    assert spark.sql("SELECT COUNT(*) AS n FROM t_claims").collect()[0].n == 1500
