@@ -79,6 +79,8 @@ def pct(num: Column, den: Column, dp: int) -> Column:
     Counts are cast to DECIMAL(20,0); 100 * num / den is then a DECIMAL(38,14)
     quotient (itself rounded HALF_UP at 14 digits), which rounds to ``dp``
     digits without a double-rounding error for any denominator below 10^13.
+    Meant for a part of a whole (0..100 %); the DECIMAL(7, dp) result holds
+    up to 99999.x %, and ANSI mode raises beyond that instead of wrapping.
     """
     n = num.cast(T.DecimalType(20, 0)) * F.lit(100)
     d = nullif_zero(den).cast(T.DecimalType(20, 0))
