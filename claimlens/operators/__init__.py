@@ -14,6 +14,7 @@ from claimlens.operators.quality import (  # noqa: F401
     Rule,
     cascade_delete,
     duplicate_keys,
+    key_violations,
     not_null_rules,
     orphans,
     quarantine,

@@ -88,6 +88,23 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], count_name: str = "copies
     )
 
 
+def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row (duplicates, null_keys) for a primary key, from a single scan.
+
+    Groups by the key *including* NULLs (one partial-aggregated shuffle):
+    ``duplicates`` = key values without NULL parts held by more than one row,
+    ``null_keys`` = rows with a NULL key part.
+    """
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_null", any_null)
+    return groups.agg(
+        F.count_if(~F.col("_null") & (F.col("_copies") > 1)).alias("duplicates"),
+        F.coalesce(F.sum(F.when(F.col("_null"), F.col("_copies"))), F.lit(0)).cast("bigint").alias("null_keys"),
+    )
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows whose non-NULL ``column`` has no parent row (foreign-key break)."""
     keys = parent.select(F.col(parent_column).alias("_parent_key"))

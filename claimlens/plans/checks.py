@@ -18,6 +18,7 @@ from claimlens.operators import (
     Rule,
     cascade_delete,
     duplicate_keys,
+    key_violations,
     not_null_rules,
     orphans,
     violation_report,
@@ -119,16 +120,21 @@ def _key_report(table: str, rule: str, dupes: DataFrame) -> DataFrame:
 
 
 def c_primary_key(m: ClaimsModel) -> DataFrame:
-    """Per table: key values held by more than one row, plus rows with a NULL key part."""
+    """Per table: key values held by more than one row, and rows with a NULL
+    key part -- both from one grouped pass over the table."""
     tables = m.tables()
     frames = []
     for t, keys in S.PRIMARY_KEYS.items():
-        df = tables[t]
-        frames.append(_key_report(t, "primary_key_duplicate", duplicate_keys(df, keys)))
-        null_key = F.lit(False)
-        for k in keys:
-            null_key = null_key | c(k).isNull()
-        frames.append(_key_report(t, "primary_key_null", df.filter(null_key)))
+        both = key_violations(tables[t], keys)
+        frames.append(
+            both.select(
+                F.lit(t).alias("table_name"),
+                F.explode(F.array(
+                    F.struct(F.lit("primary_key_duplicate").alias("rule"), F.col("duplicates").alias("violations")),
+                    F.struct(F.lit("primary_key_null").alias("rule"), F.col("null_keys").alias("violations")),
+                )).alias("r"),
+            ).select("table_name", "r.rule", "r.violations")
+        )
     return _union(frames)
 
 
