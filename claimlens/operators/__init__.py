@@ -9,10 +9,12 @@ from claimlens.operators.aggregate import (  # noqa: F401
 )
 from claimlens.operators.joins import join_bounded, preagg_left_join  # noqa: F401
 from claimlens.operators.monthly import dual_date_monthly  # noqa: F401
-from claimlens.operators.profile import distinct_count, row_count, row_counts  # noqa: F401
+from claimlens.operators.profile import distinct_count, row_count, row_counts, table_profile  # noqa: F401
 from claimlens.operators.quality import (  # noqa: F401
     Rule,
     cascade_delete,
+    check_fk,
+    check_unique,
     duplicate_keys,
     key_violations,
     not_null_rules,
@@ -21,6 +23,7 @@ from claimlens.operators.quality import (  # noqa: F401
     tag_failures,
     violation_counts,
     violation_report,
+    violations,
     write_quarantined,
 )
 from claimlens.operators.ranking import (  # noqa: F401

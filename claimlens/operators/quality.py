@@ -116,3 +116,9 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Child rows that survive deleting the parents listed in ``deleted``."""
     return child.join(deleted.select(key), key, "left_anti")
+
+
+# Names used in the design notes for the same operators.
+violations = violation_counts
+check_unique = duplicate_keys
+check_fk = orphans

@@ -58,3 +58,16 @@ def test_publish_views_registers_and_extracts(spark, small_model, tmp_path):
     assert extract.count() == 10 and "approval_rate_closed" in extract.columns
     small_model.register(prefix="t_")
     assert spark.sql("SELECT COUNT(*) AS n FROM t_claims").collect()[0].n == 1500
+
+
+def test_table_profile(small_model):
+    from claimlens.operators import table_profile
+
+    prof = table_profile(
+        {"claims": small_model.claims, "injury_types": small_model.injury_types},
+        distinct={"claims": ["provider_id", "region"]},
+    ).collect()
+    got = {(r.table_name, r.column_name): (r.row_count, r.distinct_count) for r in prof}
+    assert got[("claims", "provider_id")] == (1500, 9)
+    assert got[("claims", "region")][0] == 1500 and got[("claims", "region")][1] <= 13
+    assert got[("injury_types", None)] == (16, None)
