@@ -105,3 +105,37 @@ def test_bucketed_model_joins_claims_and_bridge_without_shuffle(spark, small_mod
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_claim_is_split_by_adaptive_skew_join(spark, small_model):
+    """One claim holding a third of all bridge rows: the claims-bridge join is
+    planned as a skew join (the hot partition is split over several tasks)."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    saved = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        bridge = small_model.claim_medical_codes.select("claim_id", "medical_code_id")
+        hot = spark.range(1, bridge.count() // 2 + 1).select(
+            F.lit(0).cast("long").alias("claim_id"), F.col("id").alias("medical_code_id"))
+        skewed = small_model.replace(claim_medical_codes=bridge.unionByName(hot))
+        df = reports.i06_top_code_per_region(skewed)
+        rows = df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin(skew=true) [claim_id" in final, final
+        assert len(rows) >= 1
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
