@@ -59,8 +59,9 @@ def dimension_usage(
 
     Counts per key first (partial aggregation, so a hot member is cheap), then
     joins the counts -- at most one row per member -- to the dimension's
-    attributes, then takes the top k. The join is between two tables of
-    dimension size; AQE broadcasts whichever side is measured small.
+    attributes, then takes the top k. The join is between two inputs of
+    dimension size: a broadcast when the planner's statistics show a small
+    dimension, otherwise a sort-merge join that never moves fact rows.
     """
     counts = usage.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
     joined = counts.join(dim.select(key, *attrs), key)
