@@ -30,9 +30,11 @@ def _model(spark, args) -> ClaimsModel:
         return derive_model(spark, args.tpch)
     if args.model:
         return ClaimsModel.read(spark, args.model)
+    if args.enforced_model:
+        return ClaimsModel.read_enforced(spark, args.enforced_model)
     if args.generate:
         return generate_claims_model(spark, n=args.generate)
-    raise SystemExit("give --tpch DIR, --model DIR or --generate N")
+    raise SystemExit("give --tpch DIR, --model DIR, --enforced-model DIR or --generate N")
 
 
 def _keys(patterns: list[str]) -> list[str]:
@@ -54,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     src = run.add_mutually_exclusive_group()
     src.add_argument("--tpch", help="folder of driver tables to derive the model from")
     src.add_argument("--model", help="folder of a model written by 'load' or 'generate'")
+    src.add_argument("--enforced-model", help="folder of a model written by 'load --enforce' (passing rows only)")
     src.add_argument("--generate", type=int, help="generate a synthetic model with N claims")
     run.add_argument("--show", type=int, default=50, help="rows to print per report")
     run.add_argument("--out", help="write each result as Parquet under OUT/<key>")
@@ -61,6 +64,8 @@ def main(argv: list[str] | None = None) -> int:
     load = sub.add_parser("load", help="derive the model from driver tables and write it")
     load.add_argument("--tpch", required=True)
     load.add_argument("--out", required=True)
+    load.add_argument("--enforce", action="store_true",
+                      help="split rows breaking a row rule into quarantine partitions")
 
     gen = sub.add_parser("generate", help="write a synthetic model")
     gen.add_argument("--claims", type=int, default=1200)
@@ -75,7 +80,11 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(args.master)
     if args.cmd == "load":
-        derive_model(spark, args.tpch).write(args.out)
+        model = derive_model(spark, args.tpch)
+        if args.enforce:
+            model.write_enforced(args.out)
+        else:
+            model.write(args.out)
     elif args.cmd == "generate":
         generate_claims_model(spark, n=args.claims, seed=args.seed, draws=args.draws).write(args.out)
     else:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens import schemas as S
 
@@ -88,6 +89,35 @@ class ClaimsModel:
             for name in S.TABLE_NAMES
         })
 
+    def write_enforced(self, path: str, mode: str = "overwrite") -> None:
+        """Write the six tables with their row rules enforced, as the source
+        database does at insert: one pass per table splits rows into
+        ``dq_status=pass`` and ``dq_status=quarantine`` partitions, the latter
+        carrying ``failed_rules``. Key and foreign-key rules are set-level and
+        are reported by the ``c_*`` checks instead.
+        """
+        from claimlens.operators.quality import write_quarantined
+        from claimlens.plans.checks import all_row_rules
+
+        for name, df in self.tables().items():
+            write_quarantined(df, all_row_rules(name), os.path.join(path, name), mode=mode)
+
+    @staticmethod
+    def read_enforced(spark: SparkSession, path: str) -> "ClaimsModel":
+        """The rows of a :meth:`write_enforced` model that passed every row rule
+        (partition pruning reads only the ``pass`` folders)."""
+        return ClaimsModel(**{
+            name: _read_enforced_table(spark, path, name)
+            .filter(F.col("dq_status") == "pass")
+            .select(*[f.name for f in S.SCHEMAS[name].fields])
+            for name in S.TABLE_NAMES
+        })
+
+    @staticmethod
+    def read_quarantine(spark: SparkSession, path: str, table: str) -> DataFrame:
+        """Rejected rows of one table with the names of the rules they broke."""
+        return _read_enforced_table(spark, path, table).filter(F.col("dq_status") == "quarantine")
+
     def materialize(self, path: str) -> "ClaimsModel":
         """Write, then re-read: cuts lineage so later reports start from files."""
         self.write(path)
@@ -95,6 +125,15 @@ class ClaimsModel:
         return ClaimsModel.read(spark, path)
 
 
+def _read_enforced_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    schema = T.StructType(
+        list(S.SCHEMAS[name].fields)
+        + [T.StructField("failed_rules", T.ArrayType(T.StringType()), True),
+           T.StructField("dq_status", T.StringType(), True)]
+    )
+    return spark.read.schema(schema).parquet(os.path.join(path, name))
+
+
 def empty_model(spark: SparkSession) -> ClaimsModel:
     return ClaimsModel(**{
         name: spark.createDataFrame([], S.SCHEMAS[name]) for name in S.TABLE_NAMES

@@ -14,3 +14,11 @@ def test_load_then_run(spark, tmp_path):
     assert spark.read.parquet(f"{out_dir}/v2_region_kpi").count() == 13
     fk = spark.read.parquet(f"{out_dir}/c_foreign_key").collect()
     assert len(fk) == 5 and all(r.violations == 0 for r in fk)
+
+
+def test_enforced_load_then_run(spark, tmp_path):
+    model_dir, out_dir = str(tmp_path / "enforced"), str(tmp_path / "out")
+    assert main(["load", "--tpch", SF_SMALL, "--out", model_dir, "--enforce"]) == 0
+    assert main(["run", "q00_dataset_sanity", "--enforced-model", model_dir, "--out", out_dir]) == 0
+    row = spark.read.parquet(f"{out_dir}/q00_dataset_sanity").collect()[0]
+    assert (row.claims_count, row.claim_medical_codes_count, row.injury_types_count) == (1500, 5942, 16)

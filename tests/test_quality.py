@@ -139,3 +139,18 @@ def test_i09_and_s3_on_violations(spark):
     r = reports.i09_dq_summary(m).collect()[0]
     assert (r.closed_with_decision_null, r.decision_before_received, r.rejected_with_positive_amount) == (1, 1, 1)
     assert reports.s3_open_with_decision(m).collect()[0].decisions_when_not_closed == 1
+
+
+def test_enforced_write_keeps_rule_breakers_out(spark, tmp_path):
+    from claimlens.sources import ClaimsModel
+
+    m = make_model(spark, providers=[provider(1), provider(2, ptype="Vet")],
+                   claims=[good_claim(1), good_claim(2, patient_age=130), good_claim(3, decision=None)])
+    path = str(tmp_path / "enforced")
+    m.write_enforced(path)
+    back = ClaimsModel.read_enforced(spark, path)
+    assert [r.claim_id for r in back.claims.collect()] == [1]
+    assert [r.provider_id for r in back.providers.collect()] == [1]
+    rejected = {r.claim_id: r.failed_rules for r in ClaimsModel.read_quarantine(spark, path, "claims").collect()}
+    assert rejected == {2: ["range_patient_age"], 3: ["closed_iff_decision"]}
+    assert [f.name for f in back.claims.schema] == [f.name for f in m.claims.schema]
