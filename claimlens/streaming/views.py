@@ -10,10 +10,12 @@ aggregates instead of recomputing the views from all claims:
   views; Spark keeps one state row per month / region in the state store,
   so state stays small however many claims arrive;
 * in complete mode every micro-batch carries the whole (small) view, which
-  ``foreachBatch`` writes as an overwrite of the view's Parquet extract --
-  an idempotent sink, so a replayed batch after a failure writes the same
-  result. Offsets and state live in the checkpoint folder, which must be on
-  shared storage (by default under ``spark.checkpoint.dir``).
+  ``foreachBatch`` writes as a new version folder of the view; ``read_view``
+  returns the newest *committed* version, so a reader never sees a
+  half-written view, and a replayed batch after a failure rewrites the same
+  version. Offsets and state live in the checkpoint folder, which must be on
+  shared storage (by default under ``spark.checkpoint.dir``); use one
+  checkpoint per output folder (versions follow its batch ids).
 
 Claims are facts that arrive once; a claim's later status change arrives as
 a corrected file of the batch layer, not through this stream. The provider
@@ -48,13 +50,44 @@ STREAMED_VIEWS = {
 }
 
 
-def _overwrite_to(path: str):
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, view_dir: str) -> list[str]:
+    """Committed versions of a view folder (those with ``_SUCCESS``), oldest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(view_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(root) if st.getPath().getName().startswith("v="))
+    return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(view_dir, n, "_SUCCESS")))]
+
+
+def _publish(view_dir: str, keep: int = 3):
+    """foreachBatch sink: each micro-batch writes a new version folder; Spark's
+    committer writes ``_SUCCESS`` last, so readers (``read_view``) only ever
+    see complete versions. A replayed batch rewrites its own version (same
+    batch id). Older committed versions beyond ``keep`` are removed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(os.path.join(view_dir, f"v={batch_id:012d}"))
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for old in _versions(spark, view_dir)[:-keep]:
+            path = jvm.org.apache.hadoop.fs.Path(os.path.join(view_dir, old))
+            path.getFileSystem(conf).delete(path, True)
 
     return write
 
 
+def read_view(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """The newest complete version of a streamed view."""
+    view_dir = os.path.join(out_dir, name)
+    versions = _versions(spark, view_dir)
+    if not versions:
+        raise FileNotFoundError(f"no committed version of {name} under {out_dir}")
+    return spark.read.parquet(os.path.join(view_dir, versions[-1]))
+
+
 def start_view_refresh(
     spark: SparkSession,
     source_dir: str,
@@ -63,7 +96,8 @@ def start_view_refresh(
     available_now: bool = False,
     processing_time: str = "1 minute",
 ) -> list[StreamingQuery]:
-    """Start one streaming query per view; each keeps ``out_dir/<view>`` current.
+    """Start one streaming query per view; each keeps ``out_dir/<view>`` current
+    (read it with :func:`read_view`).
 
     ``available_now=True`` processes every file present now and stops (a
     catch-up run); otherwise the queries trigger every ``processing_time``.
@@ -74,7 +108,7 @@ def start_view_refresh(
         view = build(read_claims_stream(spark, source_dir))
         writer = (
             view.writeStream.outputMode("complete")
-            .foreachBatch(_overwrite_to(os.path.join(out_dir, name)))
+            .foreachBatch(_publish(os.path.join(out_dir, name)))
             .option("checkpointLocation", os.path.join(base, name))
             .queryName(f"refresh_{name}")
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.plans import views
-from claimlens.streaming import start_view_refresh
+from claimlens.streaming import read_view, start_view_refresh
 
 
 def _rows(df):
@@ -34,11 +34,26 @@ def test_streamed_views_match_batch(spark, small_model, tmp_path):
     for q in start_view_refresh(spark, source, out, ckpt, available_now=True):
         q.awaitTermination(120)
     part = small_model.replace(claims=first)
-    _same(_rows(spark.read.parquet(f"{out}/vw_region_kpi")), _rows(views.v2_region_kpi(part)))
+    _same(_rows(read_view(spark, out, "vw_region_kpi")), _rows(views.v2_region_kpi(part)))
 
     second.write.mode("append").parquet(source)
     for q in start_view_refresh(spark, source, out, ckpt, available_now=True):
         q.awaitTermination(120)
-    _same(_rows(spark.read.parquet(f"{out}/vw_region_kpi")), _rows(views.v2_region_kpi(small_model)))
-    _same(_rows(spark.read.parquet(f"{out}/vw_monthly_kpi")), _rows(views.v1_monthly_kpi(small_model)))
+    _same(_rows(read_view(spark, out, "vw_region_kpi")), _rows(views.v2_region_kpi(small_model)))
+    _same(_rows(read_view(spark, out, "vw_monthly_kpi")), _rows(views.v1_monthly_kpi(small_model)))
     claims.unpersist()
+
+
+def test_readers_skip_uncommitted_versions(spark, small_model, tmp_path):
+    import os
+
+    source, out, ckpt = str(tmp_path / "in"), str(tmp_path / "views"), str(tmp_path / "ck")
+    small_model.claims.write.parquet(source)
+    for q in start_view_refresh(spark, source, out, ckpt, available_now=True):
+        q.awaitTermination(120)
+    # a later version still being written: data files but no _SUCCESS yet
+    partial = os.path.join(out, "vw_region_kpi", "v=999999999999")
+    small_model.claims.limit(3).write.parquet(partial)
+    os.remove(os.path.join(partial, "_SUCCESS"))
+    got = read_view(spark, out, "vw_region_kpi")
+    assert "region" in got.columns and got.count() == views.v2_region_kpi(small_model).count()
