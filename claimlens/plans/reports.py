@@ -235,15 +235,17 @@ def i04_backlog_by_region(m: ClaimsModel) -> DataFrame:
 def i05_top_provider_per_region(m: ClaimsModel) -> DataFrame:
     """Provider with the most closed claims in each claim region (ties: lowest id).
 
-    Closed claims are counted per (region, provider) first; the counts, at most
-    one row per pair, are joined to the provider names and ranked per region
-    (a partial WindowGroupLimit keeps one row per region per task before the
-    ranking shuffle).
+    Closed claims are counted per (region, provider); the counts are ranked
+    per region first -- a partial WindowGroupLimit keeps one row per region
+    per task before the ranking shuffle -- and only the winners (one per
+    region) are joined to the provider names. Ranking before the name lookup
+    equals the lookup-then-rank order whenever every claim's provider exists
+    (the claims -> providers foreign key, checked by ``c_foreign_key``).
     """
     counts = count_by(m.claims, ["region", "provider_id"], where=is_closed(), name="closed_claims")
-    named = counts.join(m.providers.select("provider_id", "provider_name"), "provider_id")
-    best = top_per_group(named, ["region"], [c("closed_claims").desc(), c("provider_id")], k=1)
-    return best.select("region", "provider_name", "provider_id", "closed_claims").orderBy(
+    best = top_per_group(counts, ["region"], [c("closed_claims").desc(), c("provider_id")], k=1)
+    named = best.join(m.providers.select("provider_id", "provider_name"), "provider_id")
+    return named.select("region", "provider_name", "provider_id", "closed_claims").orderBy(
         c("closed_claims").desc(), "region"
     )
 
@@ -252,8 +254,10 @@ def i06_top_code_per_region(m: ClaimsModel) -> DataFrame:
     """Most used medical code per claim region (dense rank 1; ties: lowest id).
 
     claims ⋈ codes-bridge on claim id (sort-merge; AQE splits a claim with an
-    outsized number of codes), aggregated per (region, code), joined once to
-    the code dimension, ranked per region.
+    outsized number of codes; no exchange at all on a bucketed model),
+    aggregated per (region, code) and ranked per region; only the winners are
+    joined to the code dimension (equal to joining first while the bridge ->
+    codes foreign key holds, as ``c_foreign_key`` checks).
     """
     uses = (
         m.claims.select("claim_id", "region")
@@ -261,13 +265,11 @@ def i06_top_code_per_region(m: ClaimsModel) -> DataFrame:
         .groupBy("region", "medical_code_id")
         .agg(F.count(F.lit(1)).alias("code_uses"))
     )
-    named = uses.join(
+    best = top_per_group(uses, ["region"], [c("code_uses").desc(), c("medical_code_id")], k=1, method="dense_rank")
+    named = best.join(
         m.medical_codes.select("medical_code_id", "code_system", "code", "code_title"), "medical_code_id"
     )
-    best = top_per_group(
-        named, ["region"], [c("code_uses").desc(), c("medical_code_id")], k=1, method="dense_rank"
-    )
-    return best.select(
+    return named.select(
         "region", "medical_code_id", "code_system", "code", "code_title", "code_uses"
     ).orderBy(c("code_uses").desc(), "region")
 

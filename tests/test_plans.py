@@ -139,3 +139,11 @@ def test_hot_claim_is_split_by_adaptive_skew_join(spark, small_model):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("report", [reports.i05_top_provider_per_region, reports.i06_top_code_per_region])
+def test_rank_before_dimension_lookup(stored, report):
+    lines = optimized(report(stored)).splitlines()
+    lookup = next(i for i, ln in enumerate(lines) if "Join Inner" in ln)
+    window = next(i for i, ln in enumerate(lines) if "Window [" in ln)
+    assert lookup < window, "\n".join(lines)  # the lookup join sits above (after) the ranking
