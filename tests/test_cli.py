@@ -22,3 +22,14 @@ def test_enforced_load_then_run(spark, tmp_path):
     assert main(["run", "q00_dataset_sanity", "--enforced-model", model_dir, "--out", out_dir]) == 0
     row = spark.read.parquet(f"{out_dir}/q00_dataset_sanity").collect()[0]
     assert (row.claims_count, row.claim_medical_codes_count, row.injury_types_count) == (1500, 5942, 16)
+
+
+def test_generate_then_run(spark, tmp_path):
+    gen_dir, out_dir = str(tmp_path / "gen"), str(tmp_path / "out")
+    assert main(["generate", "--claims", "500", "--out", gen_dir]) == 0
+    assert main(["run", "s1_row_counts", "--model", gen_dir, "--out", out_dir]) == 0
+    counts = {r.table_name: r.row_count for r in spark.read.parquet(f"{out_dir}/s1_row_counts").collect()}
+    assert counts["claims"] == 500 and counts["providers"] == 39 and counts["claim_medical_codes"] == 1000
+    assert main(["run", "i09_dq_summary", "--generate", "300", "--out", out_dir]) == 0
+    row = spark.read.parquet(f"{out_dir}/i09_dq_summary").collect()[0]
+    assert tuple(row) == (0, 0, 0)
