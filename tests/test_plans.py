@@ -147,3 +147,13 @@ def test_rank_before_dimension_lookup(stored, report):
     lookup = next(i for i, ln in enumerate(lines) if "Join Inner" in ln)
     window = next(i for i, ln in enumerate(lines) if "Window [" in ln)
     assert lookup < window, "\n".join(lines)  # the lookup join sits above (after) the ranking
+
+
+@pytest.mark.parametrize("name", ["q02_status_share", "q03_decision_share_closed", "s2_status_pct"])
+def test_share_of_total_reads_the_fact_once(spark, name):
+    """The total is a scalar subquery over the grouped counts; the main query
+    must reuse its shuffle rather than scan and aggregate the claims again."""
+    df = entry.queries()[name](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and "FileScan parquet" not in final, final
