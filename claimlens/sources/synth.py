@@ -76,6 +76,10 @@ CODE_TITLE = {
 }
 # ---------------------------------------------------------------------------
 
+# Upper bound on the planner's size estimate of a sampling pool's dimension:
+# the pool travels to every task as one array value.
+MAX_POOL_BYTES = 64 << 20
+
 DEFAULT_SEED = 4242
 DEFAULT_AS_OF = dt.date(2024, 12, 31)
 REFERENCE_WIDTH = 10  # claim_reference digits; 6 would repeat above 999,999 claims
@@ -265,11 +269,20 @@ def sample_per_claim(
     """For every claim, ``k`` (<= ``k_max`` <= 4) distinct active dimension ids
     with their 1-based pick order.
 
+    The pool must be a small, fixed-size dimension: its planner size estimate
+    is checked against ``MAX_POOL_BYTES`` before anything runs.
+
     Partial Fisher-Yates over the sorted pool P of active ids (n = |P|): step j
     draws r_j = j + floor(u_j * (n - j)), takes A_j[r_j] and swaps it into
     place. Entries of A_j are expressions over P, so each pick is a CASE over
     ``element_at`` -- k draws from one digest per claim, no sort, no lambda.
     """
+    estimate = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(estimate) > MAX_POOL_BYTES:
+        raise ValueError(
+            f"sampling pool from a dimension estimated at {int(estimate)} bytes; it is carried to every task as one "
+            f"array and must stay under {MAX_POOL_BYTES} bytes (the generator's fixed dimensions are a few KB)"
+        )
     pool = dim.filter(F.col("active")).agg(F.array_sort(F.collect_list(dim_key))).scalar()
     n = F.size(F.col("_pool"))
     base = claims_df.select(

@@ -71,3 +71,14 @@ def test_dates_and_shares(spark):
     share = cumulative.claims.agg(F.avg((F.col("region") == "Oslo").cast("double"))).collect()[0][0]
     chained = m.claims.agg(F.avg((F.col("region") == "Viken").cast("double"))).collect()[0][0]
     assert abs(share - 0.18) < 0.02 and abs(chained - 0.3116) < 0.02
+
+
+def test_sampling_pool_must_be_small(spark):
+    import pytest as _pytest
+
+    from claimlens.sources.synth import sample_per_claim
+
+    claims = spark.range(1, 10).withColumnRenamed("id", "claim_id")
+    huge = spark.range(0, 10**10).select(F.col("id").alias("medical_code_id"), F.lit(True).alias("active"))
+    with _pytest.raises(ValueError, match="sampling pool"):
+        sample_per_claim(claims, huge, "medical_code_id", F.lit(1), 1, 7, "x")
