@@ -12,7 +12,16 @@ from pyspark.sql import types as T
 from claimlens import schemas as S
 
 
-BUCKETED_BY_CLAIM = ("claims", "claim_medical_codes", "claim_injuries")
+# Bucket key of each table in the bucketed layout: the fact and both bridges
+# by claim id (their join), the large dimensions by their own key (the
+# lookups of aggregated or ranked rows). The 16 injury types stay unbucketed.
+BUCKET_KEYS = {
+    "claims": "claim_id",
+    "claim_medical_codes": "claim_id",
+    "claim_injuries": "claim_id",
+    "providers": "provider_id",
+    "medical_codes": "medical_code_id",
+}
 
 
 @dataclass(frozen=True)
@@ -65,20 +74,23 @@ class ClaimsModel:
         })
 
     def save_bucketed(self, database: str, path: str, buckets: int, mode: str = "overwrite") -> None:
-        """Write the six tables as catalog tables under ``path``, with claims and
-        both bridges bucketed and sorted by ``claim_id`` into ``buckets`` buckets.
+        """Write the six tables as catalog tables under ``path``, bucketed and
+        sorted into ``buckets`` buckets by the keys in ``BUCKET_KEYS``.
 
         Joins of claims with a bridge on ``claim_id`` (the top code per region,
         foreign-key and cascade checks) then read matching buckets side by side:
-        a sort-merge join with no shuffle of either table. Pick ``buckets`` so a
-        bucket of the largest bridge is ~200-500 MB.
+        a sort-merge join with no shuffle of either table. Lookups of aggregated
+        or ranked rows in the providers or codes read the dimension's buckets in
+        place and shuffle only the small side. Pick ``buckets`` so a bucket of the
+        largest bridge is ~200-500 MB, and set ``spark.sql.shuffle.partitions`` to
+        the same number so aggregates line up with the buckets.
         """
         spark = self.claims.sparkSession
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         for name, df in self.tables().items():
             writer = df.write.mode(mode).format("parquet").option("path", os.path.join(path, name))
-            if name in BUCKETED_BY_CLAIM:
-                writer = writer.bucketBy(buckets, "claim_id").sortBy("claim_id")
+            if name in BUCKET_KEYS:
+                writer = writer.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
             writer.saveAsTable(f"{database}.{name}")
 
     @staticmethod

@@ -157,3 +157,46 @@ def test_share_of_total_reads_the_fact_once(spark, name):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final and "FileScan parquet" not in final, final
+
+
+def _indent(line: str) -> int:
+    stripped = line.lstrip(" :|")
+    for marker in ("+- ", ":- "):
+        if stripped.startswith(marker):
+            return len(line) - len(stripped)
+    return len(line) - len(stripped)
+
+
+def _ancestors(lines: list[str], idx: int) -> list[str]:
+    """Lines of the operators above ``lines[idx]`` in a printed plan tree."""
+    out, level = [], _indent(lines[idx])
+    for ln in reversed(lines[:idx]):
+        if _indent(ln) < level:
+            out.append(ln)
+            level = _indent(ln)
+    return out
+
+
+@pytest.mark.parametrize("report", [reports.i05_top_provider_per_region, views.v3_provider_summary])
+def test_bucketed_dimension_is_read_in_place(spark, small_model, tmp_path, report):
+    small_model.save_bucketed("claims_dims", str(tmp_path / "tables"), buckets=4)
+    bucketed = ClaimsModel.from_tables(spark, "claims_dims")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        lines = report(bucketed)._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, ln in enumerate(lines) if "claims_dims.providers[" in ln)
+        path = []
+        for ln in _ancestors(lines, scan):
+            path.append(ln)
+            if "SortMergeJoin" in ln:
+                break
+        assert "SortMergeJoin" in path[-1] and not any("Exchange" in ln for ln in path), "\n".join(lines)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
