@@ -59,3 +59,32 @@ def test_weighted_reaggregate_equals_region_rate(small_model):
     ).collect()
     for r in direct:
         assert abs(w[r.region] - r.r) < 1e-12
+
+
+import pytest as _pytest  # noqa: E402
+
+from claimlens.plans.registry import REPORTS  # noqa: E402
+
+
+@_pytest.fixture(scope="module")
+def reshuffled(small_model):
+    return small_model.replace(
+        claims=small_model.claims.repartition(7, F.rand(11)),
+        providers=small_model.providers.repartition(3),
+        claim_medical_codes=small_model.claim_medical_codes.repartition(5, F.rand(5)),
+        claim_injuries=small_model.claim_injuries.repartition(6),
+        medical_codes=small_model.medical_codes.repartition(2),
+    )
+
+
+@_pytest.mark.parametrize("key", sorted(REPORTS))
+def test_every_report_independent_of_partitioning(small_model, reshuffled, key):
+    a = sorted(map(tuple, REPORTS[key](small_model).collect()), key=str)
+    b = sorted(map(tuple, REPORTS[key](reshuffled).collect()), key=str)
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        for u, v in zip(x, y):
+            if isinstance(u, float):
+                assert abs(u - v) <= 1e-9 * max(1.0, abs(u)), (key, x, y)
+            else:
+                assert u == v, (key, x, y)
