@@ -5,6 +5,7 @@
   python -m claimlens run 'c_*' --model /shared/claims --out /shared/reports
   python -m claimlens load --tpch /root/testdata/sf0.1 --out /shared/claims
   python -m claimlens generate --claims 1000000 --out /shared/synthetic
+  python -m claimlens check --model /shared/claims        # exit 1 if any data-quality rule is broken
 
 ``run`` takes key names or shell-style patterns; the model comes from the
 driver tables (``--tpch``), a written model (``--model``) or the generator
@@ -44,6 +45,23 @@ def _keys(patterns: list[str]) -> list[str]:
     return keys
 
 
+DQ_KEYS = ["c_not_null", "c_whitelist", "c_range", "c_claim_rules", "c_primary_key", "c_unique", "c_foreign_key"]
+ZERO_ROW_KEYS = ["i09_dq_summary", "s3_open_with_decision"]
+
+
+def _check(model: ClaimsModel) -> int:
+    """Print every broken rule; 0 when all rules hold, 1 otherwise."""
+    broken = []
+    for key in DQ_KEYS:
+        for r in REPORTS[key](model).filter("violations > 0").collect():
+            broken.append(f"{key}: {r.table_name}.{r.rule} = {r.violations}")
+    for key in ZERO_ROW_KEYS:
+        row = REPORTS[key](model).collect()[0].asDict()
+        broken += [f"{key}: {name} = {value}" for name, value in row.items() if value]
+    print("\n".join(broken) if broken else "all data-quality rules hold")
+    return 1 if broken else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="claimlens")
     parser.add_argument("--master", default=None, help="Spark master (default: from the environment)")
@@ -61,6 +79,13 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--show", type=int, default=50, help="rows to print per report")
     run.add_argument("--out", help="write each result as Parquet under OUT/<key>")
 
+    check = sub.add_parser("check", help="run every data-quality report; exit 1 if any rule is broken")
+    src2 = check.add_mutually_exclusive_group(required=True)
+    src2.add_argument("--tpch")
+    src2.add_argument("--model")
+    src2.add_argument("--enforced-model")
+    src2.add_argument("--generate", type=int)
+
     load = sub.add_parser("load", help="derive the model from driver tables and write it")
     load.add_argument("--tpch", required=True)
     load.add_argument("--out", required=True)
@@ -87,6 +112,8 @@ def main(argv: list[str] | None = None) -> int:
             model.write(args.out)
     elif args.cmd == "generate":
         generate_claims_model(spark, n=args.claims, seed=args.seed, draws=args.draws).write(args.out)
+    elif args.cmd == "check":
+        return _check(_model(spark, args))
     else:
         model = _model(spark, args)
         for key in _keys(args.keys):

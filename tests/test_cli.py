@@ -34,3 +34,18 @@ def test_generate_then_run(spark, tmp_path):
     assert main(["run", "i09_dq_summary", "--generate", "300", "--out", out_dir]) == 0
     row = spark.read.parquet(f"{out_dir}/i09_dq_summary").collect()[0]
     assert tuple(row) == (0, 0, 0)
+
+
+def test_check_passes_on_clean_data_and_fails_on_violations(spark, tmp_path, capsys):
+    from conftest import D, claim, make_model, provider
+
+    assert main(["check", "--tpch", SF_SMALL]) == 0
+    assert "all data-quality rules hold" in capsys.readouterr().out
+    bad = make_model(spark, providers=[provider(1)],
+                     claims=[claim(1, D(2024, 1, 2), "Closed", None, D(2024, 1, 3))])
+    path = str(tmp_path / "bad")
+    bad.write(path)
+    assert main(["check", "--model", path]) == 1
+    out = capsys.readouterr().out
+    assert "c_claim_rules: claims.closed_iff_decision = 1" in out
+    assert "i09_dq_summary: closed_with_decision_null = 1" in out
