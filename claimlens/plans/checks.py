@@ -113,6 +113,22 @@ def c_claim_rules(m: ClaimsModel) -> DataFrame:
     return _reports(m, {"claims": claim_rules()})
 
 
+def _single_claim_rule(rule_name: str):
+    def report(m: ClaimsModel) -> DataFrame:
+        rules = [r for r in claim_rules() if r.name == rule_name]
+        return _reports(m, {"claims": rules})
+
+    report.__name__ = f"c_{rule_name}"
+    report.__doc__ = f"Violations of the claims rule ``{rule_name}``."
+    return report
+
+
+c_decision_after_received = _single_claim_rule("decision_after_received")
+c_closed_iff_decision = _single_claim_rule("closed_iff_decision")
+c_rejected_zero_amount = _single_claim_rule("rejected_zero_amount")
+c_nonneg_amount = _single_claim_rule("nonneg_amount")
+
+
 def _key_report(table: str, rule: str, dupes: DataFrame) -> DataFrame:
     return dupes.agg(F.count(F.lit(1)).alias("violations")).select(
         F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"

@@ -41,7 +41,8 @@ REPORTS.update({
 REPORTS.update({
     name: getattr(checks, name)
     for name in [
-        "c_not_null", "c_whitelist", "c_range", "c_claim_rules", "c_primary_key", "c_unique",
+        "c_not_null", "c_whitelist", "c_range", "c_claim_rules", "c_decision_after_received",
+        "c_closed_iff_decision", "c_rejected_zero_amount", "c_nonneg_amount", "c_primary_key", "c_unique",
         "c_foreign_key", "c_cascade_delete", "c_month_spine_reconcile",
     ]
 })
