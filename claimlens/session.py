@@ -49,6 +49,32 @@ def build_session(
     return spark
 
 
+def cluster_conf(
+    largest_shuffle_bytes: int,
+    total_cores: int,
+    target_partition_bytes: int = 200 << 20,
+) -> dict[str, str]:
+    """Size-dependent settings for a cluster run.
+
+    ``largest_shuffle_bytes`` is the biggest shuffle a job writes (for these
+    reports: the claims-bridge join or a key check, roughly the bridge's
+    projected size). Shuffle partitions are chosen so each holds about
+    ``target_partition_bytes`` and rounded up to whole waves of the cluster's
+    cores; AQE then coalesces small ones and splits skewed ones. The same
+    number is the bucket count to use with ``ClaimsModel.save_bucketed`` so
+    aggregates line up with the buckets.
+    """
+    partitions = max(total_cores, -(-largest_shuffle_bytes // target_partition_bytes))
+    partitions = -(-partitions // total_cores) * total_cores
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def shared_dir(spark: SparkSession, create_local: bool = False) -> str:
     """The cluster-wide folder for checkpoints and materialised tables.
 

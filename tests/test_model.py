@@ -71,3 +71,13 @@ def test_table_profile(small_model):
     assert got[("claims", "provider_id")] == (1500, 9)
     assert got[("claims", "region")][0] == 1500 and got[("claims", "region")][1] <= 13
     assert got[("injury_types", None)] == (16, None)
+
+
+def test_cluster_conf_sizes_partitions_in_whole_waves():
+    from claimlens.session import cluster_conf
+
+    conf = cluster_conf(largest_shuffle_bytes=10 * 2**40, total_cores=8000)  # a 10 TiB shuffle
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts * (200 << 20) >= 10 * 2**40
+    small = cluster_conf(largest_shuffle_bytes=1 << 20, total_cores=8)
+    assert small["spark.sql.shuffle.partitions"] == "8"
