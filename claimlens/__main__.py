@@ -58,6 +58,9 @@ def _check(model: ClaimsModel) -> int:
     for key in ZERO_ROW_KEYS:
         row = REPORTS[key](model).collect()[0].asDict()
         broken += [f"{key}: {name} = {value}" for name, value in row.items() if value]
+    totals = REPORTS["c_month_spine_reconcile"](model).collect()[0].asDict()
+    if len(set(totals.values())) > 1:
+        broken.append(f"c_month_spine_reconcile: views disagree {totals}")
     print("\n".join(broken) if broken else "all data-quality rules hold")
     return 1 if broken else 0
 
