@@ -80,6 +80,7 @@ def providers(supplier: DataFrame) -> DataFrame:
 def claims(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
     # Providers are numbered 0..n-1; claims go round the first n-1, so the last
     # provider never has a claim (it exercises the outer join of the provider view).
+    # Needs at least two suppliers: with one, ANSI mode raises on the modulo by 0.
     n_providers = supplier.select(F.count(F.lit(1))).scalar()
     key = F.col("o_orderkey")
     cust = F.col("o_custkey")
