@@ -200,3 +200,21 @@ def test_bucketed_dimension_is_read_in_place(spark, small_model, tmp_path, repor
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+UNUSED_SOURCE_COLUMNS = [
+    "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate", "s_acctbal", "c_name", "c_acctbal", "c_mktsegment", "p_brand", "p_size",
+    "p_retailprice",
+]
+
+
+def test_no_scan_reads_columns_the_model_never_uses(spark):
+    """Column pruning reaches every Parquet scan of every registered query."""
+    for name, fn in entry.queries().items():
+        plan = physical(fn(spark, SF_SMALL))
+        schemas = [ln[ln.index("ReadSchema:"):] for ln in plan.splitlines() if "ReadSchema:" in ln]
+        assert schemas, name
+        for schema in schemas:
+            leaked = [c for c in UNUSED_SOURCE_COLUMNS if f"{c}:" in schema]
+            assert not leaked, (name, leaked)
