@@ -81,3 +81,18 @@ def test_cluster_conf_sizes_partitions_in_whole_waves():
     assert parts % 8000 == 0 and parts * (200 << 20) >= 10 * 2**40
     small = cluster_conf(largest_shuffle_bytes=1 << 20, total_cores=8)
     assert small["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_shared_dir_never_falls_back_silently(spark):
+    import pytest as _pytest
+
+    from claimlens.session import shared_dir
+
+    current = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        with _pytest.raises(RuntimeError, match="spark.checkpoint.dir is not set"):
+            shared_dir(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", current)
+    assert shared_dir(spark) == current
