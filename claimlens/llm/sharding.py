@@ -110,7 +110,10 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, id_col: str, path: str) -> None:
-    """Writes the rows of ``df`` (ids unique) as one folder per shard."""
-    shards = assigned.select(F.col(id_col).alias("__id"), F.col("shard").alias("shard_bits"))
+    """Writes the rows of ``df`` (ids unique) as one folder per shard.
+
+    The folder is shard_bits=b<bits>; the letter keeps readers from taking the bits for a number.
+    """
+    shards = assigned.select(F.col(id_col).alias("__id"), F.concat(F.lit("b"), "shard").alias("shard_bits"))
     placed = df.join(shards, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
     placed.repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
