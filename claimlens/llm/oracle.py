@@ -47,4 +47,17 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op10_extendible_sharding": OP10}
+OP5 = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND list_bool_and([y IS NOT NULL AND isfinite(y) FOR y IN embedding]) AND list_bool_or([y <> 0 FOR y IN embedding])),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op5_nearest_neighbours": OP5,
+                          "op10_extendible_sharding": OP10}
