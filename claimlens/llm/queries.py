@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, secrets_scan, sharding
+from claimlens.llm import ann, decontamination, secrets_scan, sharding, simhash
 from claimlens.llm.common import read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -22,6 +22,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -48,6 +52,7 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op9_secret_scan": op9_secret_scan,
     "op10_extendible_sharding": op10_extendible_sharding,
