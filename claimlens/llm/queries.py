@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, packing, secrets_scan, sharding, simhash
-from claimlens.llm.common import read_table
+from claimlens.llm import ann, decontamination, packing, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
 SHARD_BYTES = 1 << 20
@@ -35,6 +35,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = read_table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~apart)
+    return toxicity.score(docs, model).select(
+        "doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_extendible_sharding": op10_extendible_sharding,
 }
