@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, packing, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm import ann, decontamination, packing, resampling, secrets_scan, sharding, simhash, toxicity
 from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -27,6 +27,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    ratios = resampling.log_ratios(docs, read_table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    return resampling.resample(docs, ratios, KEPT_SHARE)
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -65,9 +71,13 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The vocabulary of byte_bpe_50k.json as ranks; the library that reads it is several times faster.
 RANKS = "byte_bpe_50k.tiktoken"
 
+#: Share of the documents that op4 samples.
+KEPT_SHARE = 0.8
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
