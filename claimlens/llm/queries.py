@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, packing, resampling, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm import ann, decontamination, langid, packing, resampling, secrets_scan, sharding, simhash, toxicity
 from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -37,6 +37,12 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = read_table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    return langid.predict(docs, langid.train(docs, ~apart)).select(
+        "doc_id", apart.alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
