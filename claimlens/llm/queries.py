@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, langid, packing, resampling, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm import ann, decontamination, langid, lm, packing, resampling, secrets_scan, sharding, simhash, toxicity
 from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -24,7 +24,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = held_out("doc_id", 10, 0)
+    scored = lm.score(read_table(spark, sf_dir, "documents"), ~apart)
+    return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +89,7 @@ KEPT_SHARE = 0.8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_language_model": op3_language_model,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_language_id": op6_language_id,
