@@ -43,10 +43,10 @@ BLOCK_BYTES = 16 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 RESULT = pa.schema([
-    ("text_key", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ("text_hash", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
     ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())),
 ])
-RESULT_SQL = ("text_key long, n_words long, words array<struct<start:int,end:int>>, "
+RESULT_SQL = ("text_hash long, n_words long, words array<struct<start:int,end:int>>, "
               "spans array<struct<start:int,end:int>>, items array<string>")
 
 
@@ -140,7 +140,7 @@ def _finder(phrases: Phrases, id_col: str, text_col: str, shard_bytes: int):
                 own = np.unique(which[part])
                 owned = phrases.item_of[ragged(phrases.item_from[own], phrases.item_from[own + 1] - phrases.item_from[own])]
                 items[d] = sorted(phrases.items[np.unique(owned)].tolist())
-            keys = np.array([xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            keys = np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
             columns = [shard.column(id_col).combine_chunks(), pa.array(keys), pa.array(sizes, pa.int64())]
             columns += [pa.array(v, RESULT.field(k).type) for k, v in (("words", words), ("spans", spans), ("items", items))]
             yield pa.RecordBatch.from_arrays(columns, [id_col, *RESULT.names])
@@ -170,7 +170,7 @@ def find_contamination(
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
     shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: id, n_words, hit word ranges, removal spans (code
+    """One row per document: id, text_hash (as Spark's xxhash64 of a text that isn't null), n_words, hit word ranges, removal spans (code
     points, end exclusive), items with occurring windows (sorted as text), n_hit,
     contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -182,7 +182,7 @@ def find_contamination(
     found = passes[0] if len(passes) == 1 else _united(passes, id_col)
     n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + (w["end"] - w["start"]).cast("long"))
     return found.withColumn("n_hit", n_hit).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("text_key")
+        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def _united(passes: list[DataFrame], id_col: str) -> DataFrame:
@@ -190,13 +190,13 @@ def _united(passes: list[DataFrame], id_col: str) -> DataFrame:
     hits = passes[0].filter(F.size("items") > 0)
     for more in passes[1:]:
         hits = hits.unionByName(more.filter(F.size("items") > 0))
-    merged = hits.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(
+    merged = hits.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__key")).agg(
         *[_merged(F.flatten(F.collect_set(c))).alias(f"__{c}") for c in ("words", "spans")],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"),
     )
-    on = passes[0][id_col].eqNullSafe(merged["__id"]) & (passes[0]["text_key"] == merged["__key"])
+    on = passes[0][id_col].eqNullSafe(merged["__id"]) & (passes[0]["text_hash"] == merged["__key"])
     return passes[0].join(merged, on, "left").select(
-        id_col, "text_key", "n_words", *[F.coalesce(f"__{c}", F.col(c)).alias(c) for c in ("words", "spans", "items")])
+        id_col, "text_hash", "n_words", *[F.coalesce(f"__{c}", F.col(c)).alias(c) for c in ("words", "spans", "items")])
 
 
 def _merged(ranges):

@@ -304,26 +304,32 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return fit([r.t.encode() for r in got], [r["__lang"] for r in got], lexicon, languages)
 
 
+def _judged(tagger: Tagger, batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, ...]:
+    """Best language (number; the last for none), score, words and switches of each row."""
+    n = batch.num_rows
+    best, score = np.full(n, len(tagger.languages)), np.zeros(n)
+    many, switches = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for first, texts in text_slices(batch, column) if tagger.languages else []:
+        gamma, sizes = tagger.marginals(texts)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        sums = np.stack([np.bincount(owner, gamma[:, k], len(texts)) for k in range(gamma.shape[1])], 1)
+        some = np.flatnonzero(sizes)
+        best[first + some] = sums[some].argmax(axis=1)
+        score[first + some] = np.minimum(1.0, sums[some].max(axis=1) / sizes[some])
+        many[first:first + len(texts)] = sizes
+        label = gamma.argmax(axis=1)
+        turn = np.flatnonzero((label[1:] != label[:-1]) & (owner[1:] == owner[:-1]))
+        switches[first:first + len(texts)] = np.bincount(owner[turn], minlength=len(texts))
+    return best, score, many, switches
+
+
 def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, n_words, n_switches) of each row. No shuffle."""
     names = np.array([*tagger.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            best, score = np.full(n, len(tagger.languages)), np.zeros(n)
-            many, switches = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for first, texts in text_slices(batch, 1) if tagger.languages else []:
-                gamma, sizes = tagger.marginals(texts)
-                owner = np.repeat(np.arange(len(texts)), sizes)
-                sums = np.stack([np.bincount(owner, gamma[:, k], len(texts)) for k in range(gamma.shape[1])], 1)
-                some = np.flatnonzero(sizes)
-                best[first + some] = sums[some].argmax(axis=1)
-                score[first + some] = np.minimum(1.0, sums[some].max(axis=1) / sizes[some])
-                many[first:first + len(texts)] = sizes
-                label = gamma.argmax(axis=1)
-                turn = np.flatnonzero((label[1:] != label[:-1]) & (owner[1:] == owner[:-1]))
-                switches[first:first + len(texts)] = np.bincount(owner[turn], minlength=len(texts))
+            best, score, many, switches = _judged(tagger, batch, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(many), pa.array(switches)],
                 [id_col, "lang_pred", "score", "n_words", "n_switches"])
@@ -331,3 +337,14 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
         run, f"`{id_col}` {kind}, lang_pred string, score double, n_words long, n_switches long")
+
+
+def keep(docs: DataFrame, tagger: Tagger, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a score of ``least`` or more. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score, *_ = _judged(tagger, batch, batch.schema.names.index(text_col))
+            yield batch.filter(pa.array((best < len(tagger.languages)) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -88,18 +88,22 @@ _SPREAD = np.array([[sum(((v >> (4 * p + b)) & 1) << (16 * b) for b in range(4))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp) of each row; fp is the fingerprint's bits as a signed long. No shuffle."""
+    """(id, fp, text_hash) of each row; fp is the fingerprint's bits as a signed long,
+    text_hash is Spark's xxhash64 of a text that isn't null. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in to_bytes(batch.column(1))]
+            texts = to_bytes(batch.column(1))
+            hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in texts]
+            own = np.fromiter((xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
             ends = np.cumsum([len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(majority_bits(flat, ends).view(np.int64))], ["id", "fp"])
+                [batch.column(0), pa.array(majority_bits(flat, ends).view(np.int64)), pa.array(own.view(np.int64))],
+                ["id", "fp", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long, text_hash long")
 
 
 def masks(rounds: int = 3) -> list[list[tuple[int, int]]]:
@@ -232,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_BITS) -> DataFrame:
-    """(id, fingerprint, component_id) of each row."""
+    """(id, fingerprint, component_id, text_hash) of each row."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tied = components(links(distinct, limit))
@@ -245,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = distinct.join(linked, "fp", "left").select(
         "fp", F.when(F.col("class_least").isNotNull(), F.col("class_least")).otherwise(F.col("least")).alias("component_id"))
     return fps.join(classes, "fp").select(
-        F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -1,0 +1,43 @@
+"""Brute-force versions shared by the tests."""
+
+import re
+
+from claimlens.llm import secrets_scan
+
+from .test_secrets_scan import brute_base
+from .test_simhash import classes, fingerprint  # noqa: F401
+
+
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def contaminated(text, items, n=13):
+    own, hit = words(text), set()
+    grams = {}
+    for item in items:
+        w = words(item)
+        size = min(n, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            grams.setdefault(size, set()).add(tuple(w[k:k + size]))
+    for size, wanted in grams.items():
+        for k in range(len(own) - size + 1):
+            if tuple(own[k:k + size]) in wanted:
+                hit |= set(range(k, k + size))
+    return bool(hit) and 20 * len(hit) >= len(own)
+
+
+def redacted(text, mask="[SECRET]"):
+    """Base spans by regular expressions, entropy spans by the operator's own scan of this text alone."""
+    if not text:
+        return text
+    data = text.encode()
+    spans = [(s, e) for s, e, _ in brute_base(text)]
+    spans += [(len(data[:s].decode()), len(data[:e].decode())) for s, k, e in secrets_scan.scan_buffer(data) if k == 3]
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], mask]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
