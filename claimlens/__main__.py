@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--model", help="folder of a model written by 'load' or 'generate'")
     src.add_argument("--enforced-model", help="folder of a model written by 'load --enforce' (passing rows only)")
     src.add_argument("--generate", type=int, help="generate a synthetic model with N claims")
-    run.add_argument("--show", type=int, default=50, help="rows to print per report")
+    run.add_argument("--show", type=int, default=None, help="rows to print per report (default: all)")
     run.add_argument("--out", help="write each result as Parquet under OUT/<key>")
 
     check = sub.add_parser("check", help="run every data-quality report; exit 1 if any rule is broken")
@@ -125,7 +125,10 @@ def main(argv: list[str] | None = None) -> int:
                 df.write.mode("overwrite").parquet(os.path.join(args.out, key))
             else:
                 print(f"--- {key}")
-                df.show(args.show, truncate=False)
+                rows = df.count()
+                df.show(rows if args.show is None else args.show, truncate=False)
+                if args.show is not None and args.show < rows:
+                    print(f"{args.show} of {rows} rows; --out writes them all")
     return 0
 
 

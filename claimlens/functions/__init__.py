@@ -12,9 +12,11 @@ from claimlens.functions.exprs import (  # noqa: F401
     mean_double,
     month_start,
     nullif_zero,
+    padded,
     pct,
     pct_type,
     pick,
     ratio,
+    rounded_avg,
     sum_where,
 )

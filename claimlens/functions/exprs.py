@@ -102,6 +102,11 @@ def exact_avg(value: Column, dp: int, where: Column | None = None, integral: boo
     return F.round(F.sum(v) / n, dp).cast(avg_type(dp))
 
 
+def rounded_avg(total: Column, n: Column, dp: int) -> Column:
+    """``ROUND(total / n, dp)`` of sums already taken (whole-number totals), HALF_UP once; NULL when n is 0."""
+    return F.round(total.cast(T.DecimalType(22, 0)) / nullif_zero(n).cast(T.DecimalType(16, 0)), dp).cast(avg_type(dp))
+
+
 def mean_double(value: Column, where: Column | None = None) -> Column:
     """Unrounded average as ``double(sum) / count``; NULL when no row qualifies."""
     v = value if where is None else F.when(where, value)
@@ -109,5 +114,18 @@ def mean_double(value: Column, where: Column | None = None) -> Column:
 
 
 def pick(index: Column, values: list[str]) -> Column:
-    """``values[index]`` (0-based) from a literal array; map-only, no join."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
+    """``values[index]`` (0-based) from a literal array; map-only, no join.
+
+    NULL for a NULL index. Spark declares ``element_at`` on an array without
+    NULLs as non-null and reads some element for a NULL index, so the index is
+    tested before.
+    """
+    chosen = F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
+    return F.when(index.isNotNull(), chosen)
+
+
+def padded(number: Column, width: int) -> Column:
+    """Digits of ``number`` padded with zeros to ``width``; longer numbers stay whole
+    (``lpad`` alone would cut them)."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))

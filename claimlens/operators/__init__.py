@@ -7,8 +7,9 @@ from claimlens.operators.aggregate import (  # noqa: F401
     share_of_total,
     summary_stats,
 )
-from claimlens.operators.joins import join_bounded, preagg_left_join  # noqa: F401
-from claimlens.operators.monthly import dual_date_monthly  # noqa: F401
+from claimlens.operators.joins import preagg_left_join  # noqa: F401
+from claimlens.operators.monthly import dual_date_monthly, month_pair_sums, sums_by_month  # noqa: F401
+from claimlens.operators.numbering import number_rows, with_total  # noqa: F401
 from claimlens.operators.profile import distinct_count, row_count, row_counts, table_profile  # noqa: F401
 from claimlens.operators.quality import (  # noqa: F401
     Rule,
@@ -18,6 +19,7 @@ from claimlens.operators.quality import (  # noqa: F401
     duplicate_keys,
     key_violations,
     not_null_rules,
+    orphan_counts,
     orphans,
     quarantine,
     tag_failures,

@@ -1,11 +1,9 @@
 """Join helpers that keep shuffles and broadcasts under control.
 
-Broadcast policy: a side is broadcast only when its row count has a *static*
-bound that follows from how it was built (the output of a top-k, a one-row
-aggregate) and that bound is below ``MAX_BROADCAST_ROWS``. Everything else is
-left to the planner: AQE switches a sort-merge join to a broadcast join at
-runtime when a shuffle stage's *measured* size is below
-``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+No side is broadcast by hint: the planner broadcasts sides whose measured
+statistics are under ``autoBroadcastJoinThreshold``, and AQE switches a
+sort-merge join to a broadcast join at runtime when a shuffle stage's *measured*
+size is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -15,29 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def join_bounded(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | Sequence[str] | Column,
-    how: str = "inner",
-    bound: int | None = None,
-    small_side: str = "right",
-) -> DataFrame:
-    """Join ``big`` with ``small``, broadcasting ``small`` only with a proven bound.
-
-    ``small_side="left"`` keeps ``small``'s columns first (``small.join(big)``),
-    which also lets an inner join build the hash table from ``small``.
-    """
-    if bound is not None and bound <= MAX_BROADCAST_ROWS:
-        small = F.broadcast(small)
-    if small_side == "left":
-        return small.join(big, on, how)
-    return big.join(small, on, how)
-
-
 def preagg_left_join(
     dim: DataFrame,
     fact: DataFrame,

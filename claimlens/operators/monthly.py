@@ -3,41 +3,52 @@
 A claim is *received* in one month and *closed* (decided) in another. The
 month spine is every month that holds a received date or any decision date.
 Instead of three scans (spine, received aggregate, closed aggregate) and two
-outer joins, each fact row is emitted twice -- once tagged with its opening
-month and once with its closing month -- and a single grouped aggregation
-with conditional aggregates computes both sides: one scan, one shuffle of
-at most (months x tasks) partial rows.
+outer joins, the facts are summed once per (opened month, closed month): one
+scan, one shuffle of at most (month pairs x tasks) partial rows. Those few rows
+are then told to both of their months and summed again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions import month_start
 
-OPENED = "_opened_side"
-
 
 def dual_date_monthly(
     fact: DataFrame,
     opened: str,
     closed: str,
-    aggs: Callable[[Column, Column], list[Column]],
+    opened_sums: dict[str, Column],
+    closed_sums: dict[str, Column],
     month_name: str = "month_start_date",
 ) -> DataFrame:
-    """Group ``fact`` by month of ``opened`` and by month of ``closed`` in one pass.
+    """(month, *opened_sums, *closed_sums) for every month of either date.
 
-    ``aggs(is_opened_row, is_closed_row)`` returns the aggregate columns; each
-    one must restrict itself with one of the two predicates (e.g.
-    ``count_if(is_opened_row)``). Rows whose date is NULL on a side do not
-    create a month on that side.
+    ``opened_sums`` are added up in the row's opening month and ``closed_sums`` in
+    its closing month; both are aggregates that add up (counts, sums). A NULL date
+    makes no month on its side.
     """
-    side = F.explode(F.array(F.lit(True), F.lit(False))).alias(OPENED)
-    tagged = fact.select("*", side)
-    is_opened = F.col(OPENED)
-    month = F.when(is_opened, month_start(opened)).otherwise(month_start(closed))
-    rows = tagged.withColumn(month_name, month).filter(F.col(month_name).isNotNull())
-    return rows.groupBy(month_name).agg(*aggs(is_opened, ~is_opened))
+    pairs = month_pair_sums(fact, opened, closed, {**opened_sums, **closed_sums})
+    return sums_by_month(pairs, list(opened_sums), list(closed_sums), month_name)
+
+
+def month_pair_sums(fact: DataFrame, opened: str, closed: str, sums: dict[str, Column]) -> DataFrame:
+    """The one aggregation of the facts, per (opened month, closed month); also on a stream."""
+    return fact.groupBy(month_start(opened).alias("_opened"), month_start(closed).alias("_closed")).agg(
+        *[value.alias(name) for name, value in sums.items()]
+    )
+
+
+def sums_by_month(pairs: DataFrame, opened: list[str], closed: list[str], month_name: str) -> DataFrame:
+    """Month-pair sums told to the months: ``opened`` sums to the first, ``closed`` sums to the second."""
+    sides = F.explode(F.array(
+        F.struct(F.col("_opened").alias("month"), F.lit(True).alias("opens")),
+        F.struct(F.col("_closed").alias("month"), F.lit(False).alias("opens")),
+    ))
+    told = pairs.select("*", sides.alias("_side")).filter(F.col("_side.month").isNotNull())
+    opens = F.col("_side.opens")
+    return told.groupBy(F.col("_side.month").alias(month_name)).agg(
+        *[F.sum(F.when(opens if name in opened else ~opens, F.col(name))).alias(name) for name in opened + closed]
+    )

@@ -113,6 +113,18 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     )
 
 
+def orphan_counts(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """Child rows per non-NULL value of ``column`` without a parent row: (value, n).
+
+    The child is counted per value first (partial aggregation), so the join moves
+    its distinct values, however often one of them occurs. An outer join that keeps
+    the rows without a match, as the optimizer moves an anti join below the count.
+    """
+    values = child.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("n"))
+    keys = parent.select(F.col(parent_column).alias("_parent_key"), F.lit(True).alias("_known"))
+    return values.join(keys, F.col("_value") == F.col("_parent_key"), "left").filter(F.col("_known").isNull()).select("_value", "n")
+
+
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Child rows that survive deleting the parents listed in ``deleted``."""
     return child.join(deleted.select(key), key, "left_anti")

@@ -19,8 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.operators.joins import join_bounded
-
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
@@ -74,14 +72,17 @@ def top_k_with_lookup(
     k: int,
     dim: DataFrame,
     key: str,
-    how: str = "inner",
 ) -> DataFrame:
-    """Top-k fact rows, then their dimension attributes.
+    """The k first fact rows that have a dimension row, with its attributes.
 
-    The k rows are taken first (no shuffle of the fact table) and joined to
-    the dimension by broadcasting the k rows -- a side whose size is bounded
-    by k. Equal to join-then-top-k whenever every fact key exists in the
-    dimension (the foreign key that ``check_fk`` verifies).
+    Equal to joining every fact row first. The k first rows are taken without a
+    shuffle of the facts and looked up; if some have no dimension row, more are
+    taken until k have one. After two such rounds the facts are joined whole, so
+    any number of orphans gives the same rows.
     """
-    top = top_k(fact, order, k)
-    return join_bounded(dim, top, key, how=how, bound=k, small_side="left")
+    for take in (k, 8 * k, 64 * k):
+        top = top_k(fact, order, take)
+        found = top.join(dim, key)
+        if found.count() >= k or top.count() < take:
+            return top_k(found, order, k)
+    return top_k(fact.join(dim, key), order, k)

@@ -20,9 +20,12 @@ from claimlens.operators import (
     duplicate_keys,
     key_violations,
     not_null_rules,
-    orphans,
+    quarantine,
+    row_counts,
+    orphan_counts,
     violation_report,
 )
+from claimlens.plans.regions import count_by_region
 from claimlens.plans.views import v1_monthly_kpi, v2_region_kpi, v3_provider_summary
 from claimlens.sources.model import ClaimsModel
 
@@ -93,15 +96,25 @@ def _reports(m: ClaimsModel, rules_by_table: dict[str, list[Rule]]) -> DataFrame
     return _union(violation_report(tables[t], rules, t) for t, rules in rules_by_table.items() if rules)
 
 
+def _reports_and_region(m: ClaimsModel, rules_by_table: dict[str, list[Rule]], region_rule: str) -> DataFrame:
+    """``_reports``, with the claims' region rule on the claims counted per region: where
+    the region is looked up, no claim is moved for it."""
+    own = next(r for r in rules_by_table["claims"] if r.name == region_rule)
+    rest = {**rules_by_table, "claims": [r for r in rules_by_table["claims"] if r.name != region_rule]}
+    broken = count_by_region(m, "n").filter(own.violated()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    return _reports(m, rest).unionByName(
+        broken.select(F.lit("claims").alias("table_name"), F.lit(region_rule).alias("rule"), "violations"))
+
+
 def c_not_null(m: ClaimsModel) -> DataFrame:
-    return _reports(m, {
+    return _reports_and_region(m, {
         t: not_null_rules([f.name for f in S.SCHEMAS[t].fields if not f.nullable])
         for t in S.TABLE_NAMES
-    })
+    }, "not_null_region")
 
 
 def c_whitelist(m: ClaimsModel) -> DataFrame:
-    return _reports(m, whitelist_rules())
+    return _reports_and_region(m, whitelist_rules(), "allowed_region")
 
 
 def c_range(m: ClaimsModel) -> DataFrame:
@@ -165,7 +178,9 @@ def c_unique(m: ClaimsModel) -> DataFrame:
 def c_foreign_key(m: ClaimsModel) -> DataFrame:
     tables = m.tables()
     return _union(
-        _key_report(child, f"fk_{col}_{parent}", orphans(tables[child], col, tables[parent], pcol))
+        orphan_counts(tables[child], col, tables[parent], pcol)
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+        .select(F.lit(child).alias("table_name"), F.lit(f"fk_{col}_{parent}").alias("rule"), "violations")
         for child, col, parent, pcol in S.FOREIGN_KEYS
     )
 
@@ -183,8 +198,6 @@ def cascade_delete_claims(m: ClaimsModel, deleted: Column) -> ClaimsModel:
 
 def c_cascade_delete(m: ClaimsModel) -> DataFrame:
     """Row counts left after purging every Rejected claim with its bridge rows."""
-    from claimlens.operators import row_counts
-
     after = cascade_delete_claims(m, c("decision") == "Rejected")
     return row_counts({
         "claims": after.claims,
@@ -206,6 +219,29 @@ def c_month_spine_reconcile(m: ClaimsModel) -> DataFrame:
     )
 
 
+def c_quarantine(m: ClaimsModel) -> DataFrame:
+    """Per table the rows that pass every row rule and the rows set aside."""
+    frames = []
+    for name, df in m.tables().items():
+        good, bad = quarantine(df, all_row_rules(name))
+        frames.append(row_counts({"passed": good, "quarantined": bad}, "outcome").select(
+            F.lit(name).alias("table_name"), "outcome", "row_count"))
+    return _union(frames)
+
+
+def c_defaults(m: ClaimsModel) -> DataFrame:
+    """Loads every table without its defaulted columns: rows filled per column, and
+    rows left without a value (none)."""
+    frames = []
+    for name, columns in defaults().items():
+        filled = apply_defaults(m.tables()[name].drop(*columns), name)
+        rules = [Rule(column, c(column).isNotNull()) for column in columns]
+        wide = filled.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(r.violated()).alias(r.name) for r in rules])
+        frames.append(wide.unpivot(["_rows"], list(columns), "column_name", "missing").select(
+            F.lit(name).alias("table_name"), "column_name", c("_rows").alias("filled_rows"), "missing"))
+    return _union(frames)
+
+
 # Column defaults of the schema, applied when a loaded file lacks the column.
 def defaults() -> dict[str, dict[str, Column]]:
     return {

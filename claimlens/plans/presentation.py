@@ -60,8 +60,8 @@ def p5_top_providers_by_payout(m: ClaimsModel, k: int = 10) -> DataFrame:
 
 def p6_sliced_provider_table(
     m: ClaimsModel,
-    regions: Sequence[str] | None = ("Oslo", "Viken", "Vestland"),
-    provider_types: Sequence[str] | None = ("Clinic", "GP"),
+    regions: Sequence[str] | None = None,
+    provider_types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Provider table filtered by the region and type slicers (None = all)."""
     df = v3_provider_summary(m)
@@ -86,7 +86,7 @@ def p7_reaggregate(m: ClaimsModel, weighted: bool = False) -> DataFrame:
             v3, ["region"], sums=["total_claims", "closed_claims", "total_payout_nok"],
             avgs=["avg_processing_days_closed"],
             weights={"approval_rate_closed": ("_approved", "closed_claims")},
-        )
+        ).withColumn("total_payout_nok", c("total_payout_nok").cast(AMOUNT_SUM_T)).orderBy("region")
     return reaggregate(
         v3,
         ["region"],

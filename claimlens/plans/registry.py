@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.plans import checks, presentation, reports, views
 from claimlens.sources import synth
+from claimlens.sources.faulty import over_faults
 from claimlens.sources.model import ClaimsModel
 from claimlens.sources.tpch import derive_model
 
@@ -30,6 +31,7 @@ REPORTS.update({
     "v1_monthly_kpi": views.v1_monthly_kpi,
     "v2_region_kpi": views.v2_region_kpi,
     "v3_provider_summary": views.v3_provider_summary,
+    "v_published_rollup": views.published_rollup,
 })
 REPORTS.update({
     name: getattr(presentation, name)
@@ -38,40 +40,42 @@ REPORTS.update({
         "p5_top_providers_by_payout", "p6_sliced_provider_table", "p7_reaggregate",
     ]
 })
+# The presentation queries' other modes.
+REPORTS.update({
+    "p1_latest_received_month": lambda m: presentation.p1_latest_month_kpis(m, require_received=True),
+    "p6_slice_of_three_regions": lambda m: presentation.p6_sliced_provider_table(
+        m, regions=["Oslo", "Viken", "Vestland"], provider_types=["Clinic", "GP"]),
+    "p7_reaggregate_weighted": lambda m: presentation.p7_reaggregate(m, weighted=True),
+})
+REPORTS.update({
+    name: getattr(reports, name) for name in ["t_table_profile", "n_claim_numbers"]
+})
 REPORTS.update({
     name: getattr(checks, name)
     for name in [
         "c_not_null", "c_whitelist", "c_range", "c_claim_rules", "c_decision_after_received",
         "c_closed_iff_decision", "c_rejected_zero_amount", "c_nonneg_amount", "c_primary_key", "c_unique",
-        "c_foreign_key", "c_cascade_delete", "c_month_spine_reconcile",
+        "c_foreign_key", "c_cascade_delete", "c_month_spine_reconcile", "c_defaults", "c_quarantine",
+    ]
+})
+# The same checks over a model with known faults, so that every rule has something to find.
+REPORTS.update({
+    f"{name}_faulty": over_faults(REPORTS[name])
+    for name in [
+        "c_not_null", "c_whitelist", "c_range", "c_decision_after_received", "c_closed_iff_decision",
+        "c_rejected_zero_amount", "c_nonneg_amount", "c_primary_key", "c_unique", "c_foreign_key", "c_quarantine",
+        "i09_dq_summary", "s3_open_with_decision",
     ]
 })
-
-
-# Lazy model plans per (session, source folder). Only the DataFrame *plans* are
-# kept -- no data is cached, every report still reads the files -- so building
-# the six derived tables (a few thousand JVM calls) is paid once per session,
-# as a user holding the model in variables would.
-_MODELS: dict[tuple[int, str], tuple[SparkSession, ClaimsModel]] = {}
-
-
-def model_for(spark: SparkSession, sf_dir: str) -> ClaimsModel:
-    key = (id(spark), sf_dir)
-    hit = _MODELS.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, derive_model(spark, sf_dir))
-        _MODELS[key] = hit
-    return hit[1]
-
-
-def forget_models() -> None:
-    """Drop the remembered plans (e.g. after the source files were rewritten)."""
-    _MODELS.clear()
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Run one report over the claims model derived from the driver tables in ``sf_dir``."""
-    return REPORTS[name](model_for(spark, sf_dir))
+    """Run one report over the claims model derived from the driver tables in ``sf_dir``.
+
+    The model is planned anew each time (only the tables the report reads), so
+    files that have arrived since count.
+    """
+    return REPORTS[name](derive_model(spark, sf_dir))
 
 
 def _without_audit(df: DataFrame) -> DataFrame:

@@ -17,23 +17,28 @@ from claimlens.functions import (
     days_between,
     month_start,
     pct,
+    rounded_avg,
     sum_where,
 )
 from claimlens.operators import (
     count_by,
     distinct_count,
+    number_rows,
     outcome_rate,
     row_count,
     row_counts,
     share_of_total,
     summary_stats,
+    table_profile,
     top_k,
     top_k_with_lookup,
     top_per_group,
     violation_counts,
+    with_total,
 )
 from claimlens.operators.quality import Rule
 from claimlens.schemas import CLOSED
+from claimlens.plans.regions import count_by_region, sums_by_region
 from claimlens.sources.model import ClaimsModel
 
 c = F.col
@@ -80,6 +85,20 @@ def i00a_row_counts(m: ClaimsModel) -> DataFrame:
     return row_counts(m.tables()).orderBy("table_name")
 
 
+def t_table_profile(m: ClaimsModel) -> DataFrame:
+    """Rows of every table and distinct values of the columns reports group by."""
+    return table_profile(m.tables(), {
+        "claims": ["status", "care_level", "patient_sex", "provider_id"],
+        "claim_medical_codes": ["medical_code_id", "code_role"],
+        "providers": ["provider_type"],
+    })
+
+
+def n_claim_numbers(m: ClaimsModel) -> DataFrame:
+    """Every claim with its consecutive number by claim id, and the number of claims."""
+    return with_total(number_rows(m.claims.select("claim_id"), "claim_id", "claim_number"), "total_claims")
+
+
 def i00b_distinct_counts(m: ClaimsModel) -> DataFrame:
     return m.claims.agg(F.count_distinct("provider_id").alias("distinct_providers")).select(
         "distinct_providers",
@@ -116,7 +135,7 @@ def q04_amount_by_decision(m: ClaimsModel) -> DataFrame:
 
 
 def q05_claims_by_region(m: ClaimsModel) -> DataFrame:
-    return count_by(m.claims, ["region"]).orderBy(c("claims_count").desc(), "region")
+    return count_by_region(m).orderBy(c("claims_count").desc(), "region")
 
 
 def q06_claims_by_care_level(m: ClaimsModel) -> DataFrame:
@@ -151,9 +170,11 @@ def q09a_avg_days_overall(m: ClaimsModel) -> DataFrame:
 
 
 def q09b_avg_days_by_region(m: ClaimsModel) -> DataFrame:
-    return summary_stats(
-        m.claims, ["region"], processing_days(), ["count", "avg"], dp=2, where=processed(),
-        names={"count": "closed_claims", "avg": "avg_processing_days"}, integral=True,
+    sums = sums_by_region(
+        m, {"closed_claims": F.count(F.lit(1)), "_n": F.count(processing_days()), "_days": F.sum(processing_days())},
+        where=processed())
+    return sums.select(
+        "region", "closed_claims", rounded_avg(c("_days"), c("_n"), 2).alias("avg_processing_days"),
     ).orderBy(c("avg_processing_days").desc_nulls_first(), c("closed_claims").desc(), "region")
 
 
@@ -204,10 +225,10 @@ def i01_monthly_kpi(m: ClaimsModel) -> DataFrame:
 
 
 def i02_approval_by_region(m: ClaimsModel) -> DataFrame:
-    return outcome_rate(
-        m.claims, ["region"], is_closed(), c("decision") == "Approved", dp=1,
-        base_name="closed_count", hit_name="approved_count", rate_name="approval_rate_pct",
-    ).orderBy(c("approval_rate_pct").desc_nulls_first(), c("closed_count").desc(), "region")
+    counts = sums_by_region(
+        m, {"closed_count": F.count(F.lit(1)), "approved_count": count_where(c("decision") == "Approved")},
+        where=is_closed())
+    return counts.withColumn("approval_rate_pct", pct(c("approved_count"), c("closed_count"), 1)).orderBy(c("approval_rate_pct").desc_nulls_first(), c("closed_count").desc(), "region")
 
 
 def i03_days_by_care_level(m: ClaimsModel) -> DataFrame:
@@ -221,31 +242,25 @@ def i03_days_by_care_level(m: ClaimsModel) -> DataFrame:
 def i04_backlog_by_region(m: ClaimsModel) -> DataFrame:
     """Open work per region; regions without backlog stay (with zeros)."""
     status = c("status")
-    return (
-        m.claims.groupBy("region")
-        .agg(
-            count_where(status == "InReview").alias("inreview_count"),
-            count_where(status == "Received").alias("received_count"),
-            count_where(status.isin("InReview", "Received")).alias("backlog_total"),
-        )
-        .orderBy(c("backlog_total").desc(), "region")
-    )
+    return sums_by_region(m, {
+        "inreview_count": count_where(status == "InReview"),
+        "received_count": count_where(status == "Received"),
+        "backlog_total": count_where(status.isin("InReview", "Received")),
+    }).orderBy(c("backlog_total").desc(), "region")
 
 
 def i05_top_provider_per_region(m: ClaimsModel) -> DataFrame:
     """Provider with the most closed claims in each claim region (ties: lowest id).
 
-    Closed claims are counted per (region, provider); the counts are ranked
-    per region first -- a partial WindowGroupLimit keeps one row per region
-    per task before the ranking shuffle -- and only the winners (one per
-    region) are joined to the provider names. Ranking before the name lookup
-    equals the lookup-then-rank order whenever every claim's provider exists
-    (the claims -> providers foreign key, checked by ``c_foreign_key``).
+    Closed claims are counted per (region, provider) and the counts meet the
+    provider names before the ranking, so a provider id without a provider never
+    takes a region's place. A partial WindowGroupLimit keeps one row per region
+    and task before the ranking shuffle.
     """
-    counts = count_by(m.claims, ["region", "provider_id"], where=is_closed(), name="closed_claims")
-    best = top_per_group(counts, ["region"], [c("closed_claims").desc(), c("provider_id")], k=1)
-    named = best.join(m.providers.select("provider_id", "provider_name"), "provider_id")
-    return named.select("region", "provider_name", "provider_id", "closed_claims").orderBy(
+    counts = count_by_region(m, "closed_claims", ["provider_id"], where=is_closed())
+    named = counts.join(m.providers.select("provider_id", "provider_name"), "provider_id")
+    best = top_per_group(named, ["region"], [c("closed_claims").desc(), c("provider_id")], k=1)
+    return best.select("region", "provider_name", "provider_id", "closed_claims").orderBy(
         c("closed_claims").desc(), "region"
     )
 
@@ -255,9 +270,9 @@ def i06_top_code_per_region(m: ClaimsModel) -> DataFrame:
 
     claims ⋈ codes-bridge on claim id (sort-merge; AQE splits a claim with an
     outsized number of codes; no exchange at all on a bucketed model),
-    aggregated per (region, code) and ranked per region; only the winners are
-    joined to the code dimension (equal to joining first while the bridge ->
-    codes foreign key holds, as ``c_foreign_key`` checks).
+    aggregated per (region, code); the counts meet the code dimension before
+    the ranking, so an unknown code never takes a region's place. Here the
+    region is looked up per claim, before the bridge multiplies the rows.
     """
     uses = (
         m.claims.select("claim_id", "region")
@@ -265,11 +280,11 @@ def i06_top_code_per_region(m: ClaimsModel) -> DataFrame:
         .groupBy("region", "medical_code_id")
         .agg(F.count(F.lit(1)).alias("code_uses"))
     )
-    best = top_per_group(uses, ["region"], [c("code_uses").desc(), c("medical_code_id")], k=1, method="dense_rank")
-    named = best.join(
+    known = uses.join(
         m.medical_codes.select("medical_code_id", "code_system", "code", "code_title"), "medical_code_id"
     )
-    return named.select(
+    best = top_per_group(known, ["region"], [c("code_uses").desc(), c("medical_code_id")], k=1, method="dense_rank")
+    return best.select(
         "region", "medical_code_id", "code_system", "code", "code_title", "code_uses"
     ).orderBy(c("code_uses").desc(), "region")
 
@@ -282,22 +297,23 @@ def i07_rejection_by_care_level(m: ClaimsModel) -> DataFrame:
 
 
 def i08_top_payouts(m: ClaimsModel, k: int = 20) -> DataFrame:
-    """The k largest claims (ties: claim id) with their provider's name.
+    """The k largest claims of known providers (ties: claim id) with the provider's name.
 
-    Top-k first (no shuffle of the claims), then the k rows are broadcast
-    into a join with the providers.
+    The largest claims are taken first (no shuffle of the claims); those rows
+    alone are looked up in the providers and, where the model derives it, the region.
     """
-    claims = m.claims.select(
-        "claim_id", "claim_reference", "received_date", "status", "decision",
-        "claim_amount_nok", "region", "provider_id",
-    )
+    claims, regions = m.region_source or (m.claims, None)
+    place = "region" if regions is None else "region_key"
     top = top_k_with_lookup(
-        claims,
-        [c("claim_amount_nok").desc(), c("claim_id")],
+        claims.select("claim_id", "claim_reference", "received_date", "status", "decision",
+                      "claim_amount_nok", place, "provider_id"),
+        [c("claim_amount_nok").desc_nulls_last(), c("claim_id")],
         k,
         m.providers.select("provider_id", "provider_name"),
         "provider_id",
     )
+    if regions is not None:
+        top = top.join(regions, "region_key", "left")
     return top.select(
         "claim_id", "claim_reference", "received_date", "status", "decision",
         "claim_amount_nok", "region", "provider_name",

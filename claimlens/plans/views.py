@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions import AMOUNT_SUM_T, count_where, days_between, ratio
-from claimlens.operators import dual_date_monthly, preagg_left_join
+from claimlens.operators import month_pair_sums, preagg_left_join, sums_by_month
+from claimlens.plans.regions import sums_by_region
 from claimlens.schemas import APPROVED_LIKE, CLOSED
 from claimlens.sources.model import ClaimsModel
 
@@ -68,31 +69,31 @@ def _finish(df: DataFrame, keys: list[str], with_total: bool = True) -> DataFram
     return df.select(*cols)
 
 
-def monthly_kpi(claims: DataFrame) -> DataFrame:
-    """Month grain: receipts by received month, closures by decision month.
+def monthly_pairs(claims: DataFrame) -> DataFrame:
+    """The sums of the monthly view per (received month, decision month): the only
+    pass over the claims, batch or streaming."""
+    closed = is_closed() & has_dates()
+    return month_pair_sums(claims, "received_date", "decision_date", {
+        "claims_received": F.count(F.lit(1)),
+        "closed_claims": count_where(closed),
+        "_approved": count_where(closed & c("decision").isin(*APPROVED_LIKE)),
+        "_rejected": count_where(closed & (c("decision") == "Rejected")),
+        "_payout": F.sum(F.when(closed, c("claim_amount_nok"))),
+        "_days": F.sum(F.when(closed, days())),
+    })
+
+
+def monthly_kpi(pairs: DataFrame) -> DataFrame:
+    """Month grain from :func:`monthly_pairs`: receipts by received month, closures by decision month.
 
     The month spine holds every month with a received date or any decision
-    date (also of claims that are not Closed). One scan, one aggregation.
-    Works on a batch or a streaming claims DataFrame.
+    date (also of claims that are not Closed).
     """
-
-    def aggs(opened: Column, closing: Column) -> list[Column]:
-        closed = closing & is_closed() & has_dates()
-        return [
-            count_where(opened).alias("claims_received"),
-            count_where(closed).alias("closed_claims"),
-            count_where(closed & c("decision").isin(*APPROVED_LIKE)).alias("_approved"),
-            count_where(closed & (c("decision") == "Rejected")).alias("_rejected"),
-            F.sum(F.when(closed, c("claim_amount_nok"))).cast(AMOUNT_SUM_T).alias("_payout"),
-            F.sum(F.when(closed, days())).alias("_days"),
-        ]
-
-    monthly = dual_date_monthly(
-        claims.select("received_date", "decision_date", "status", "decision", "claim_amount_nok"),
-        "received_date",
-        "decision_date",
-        aggs,
-    )
+    counts = ["closed_claims", "_approved", "_rejected"]
+    monthly = sums_by_month(pairs, ["claims_received"], [*counts, "_payout", "_days"], "month_start_date")
+    for name in ["claims_received", *counts]:
+        monthly = monthly.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    monthly = monthly.withColumn("_payout", c("_payout").cast(AMOUNT_SUM_T))
     return monthly.select(
         "month_start_date",
         "claims_received",
@@ -114,11 +115,21 @@ def region_kpi(claims: DataFrame) -> DataFrame:
 
 
 def v1_monthly_kpi(m: ClaimsModel) -> DataFrame:
-    return monthly_kpi(m.claims).orderBy("month_start_date")
+    return monthly_kpi(monthly_pairs(m.claims)).orderBy("month_start_date")
 
 
 def v2_region_kpi(m: ClaimsModel) -> DataFrame:
-    return region_kpi(m.claims)
+    """Region grain; claims are summed before a derived region is looked up."""
+    processed = is_closed() & has_dates()
+    sums = sums_by_region(m, {
+        "total_claims": F.count(F.lit(1)),
+        "closed_claims": count_where(is_closed()),
+        "_approved": count_where(is_closed() & c("decision").isin(*APPROVED_LIKE)),
+        "_payout": F.sum(F.when(is_closed(), c("claim_amount_nok"))),
+        "_days": F.sum(F.when(processed, days())),
+        "_processed": count_where(processed),
+    })
+    return _finish(sums.withColumn("_payout", c("_payout").cast(AMOUNT_SUM_T)), ["region"])
 
 
 def v3_provider_summary(m: ClaimsModel) -> DataFrame:
@@ -148,6 +159,16 @@ VIEWS = {
 }
 
 
+def published_rollup(m: ClaimsModel) -> DataFrame:
+    """The three views published by name and read back in SQL: their claims and payout."""
+    published = publish_views(m.spark, m)
+    return m.spark.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS view_name, CAST(SUM({claims}) AS BIGINT) AS claims, "
+        f"CAST(SUM(total_payout_nok) AS DECIMAL(22,2)) AS payout FROM {name}"
+        for name, claims in zip(published, ("claims_received", "total_claims", "total_claims"))
+    ))
+
+
 def publish_views(spark: SparkSession, m: ClaimsModel, path: str | None = None) -> dict[str, DataFrame]:
     """Register the three views as temporary views; with ``path``, also write
     each one as Parquet (the extract a BI tool imports)."""

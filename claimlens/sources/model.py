@@ -33,6 +33,19 @@ class ClaimsModel:
     injury_types: DataFrame
     claim_injuries: DataFrame
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.injury_types.sparkSession
+
+    @property
+    def region_source(self) -> tuple[DataFrame, DataFrame] | None:
+        """Claims with ``region_key`` in place of the region, and (region_key, region) with
+        unique keys, for a model that looks the region up; None where claims store it.
+
+        Reports sum claims per key before the lookup, so no claim is moved for it.
+        """
+        return None
+
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import schemas as S
-from claimlens.functions import pick
+from claimlens.functions import padded, pick
 from claimlens.sources.model import ClaimsModel
 
 # ---------------------------------------------------------------------------
@@ -76,13 +76,9 @@ CODE_TITLE = {
 }
 # ---------------------------------------------------------------------------
 
-# Upper bound on the planner's size estimate of a sampling pool's dimension:
-# the pool travels to every task as one array value.
-MAX_POOL_BYTES = 64 << 20
-
 DEFAULT_SEED = 4242
 DEFAULT_AS_OF = dt.date(2024, 12, 31)
-REFERENCE_WIDTH = 10  # claim_reference digits; 6 would repeat above 999,999 claims
+REFERENCE_WIDTH = 10  # least claim_reference digits; longer ids stay whole
 
 
 SLOTS = 4  # uniforms per md5 digest
@@ -160,7 +156,7 @@ def providers(spark: SparkSession, seed: int = DEFAULT_SEED) -> DataFrame:
     return spark.range(0, len(S.REGIONS) * per, numPartitions=1).select(
         pid.alias("provider_id"),
         F.concat(region, F.lit(" "), word, F.lit(" "), F.chr(F.lit(64) + seq)).alias("provider_name"),
-        F.concat(F.lit("NO"), F.lpad((F.lit(100000000) + pid).cast("string"), 9, "0")).alias("org_number"),
+        F.concat(F.lit("NO"), padded(F.lit(100000000) + pid, 9)).alias("org_number"),
         ptype.alias("provider_type"),
         region.alias("region"),
         (uniform(seed, pid, "provider_active") < PROVIDER_ACTIVE_SHARE).alias("active"),
@@ -240,7 +236,7 @@ def claims(
     return _with_digests(ids.select(id_col), seed, id_col, CLAIM_DRAWS).select(
         seq.cast("bigint").alias("claim_id"),
         F.concat(F.lit("CLM-"), F.lit(as_of.strftime("%Y%m%d")), F.lit("-"),
-                 F.lpad(seq.cast("string"), REFERENCE_WIDTH, "0")).alias("claim_reference"),
+                 padded(seq, REFERENCE_WIDTH)).alias("claim_reference"),
         F.floor(u("age") * AGE_SPAN).cast(T.ShortType()).alias("patient_age"),
         draw(SEX_DRAWS, "sex", draws).alias("patient_sex"),
         draw(REGION_DRAWS, "region", draws).alias("region"),
@@ -269,39 +265,36 @@ def sample_per_claim(
     """For every claim, ``k`` (<= ``k_max`` <= 4) distinct active dimension ids
     with their 1-based pick order.
 
-    The pool must be a small, fixed-size dimension: its planner size estimate
-    is checked against ``MAX_POOL_BYTES`` before anything runs.
-
-    Partial Fisher-Yates over the sorted pool P of active ids (n = |P|): step j
-    draws r_j = j + floor(u_j * (n - j)), takes A_j[r_j] and swaps it into
-    place. Entries of A_j are expressions over P, so each pick is a CASE over
-    ``element_at`` -- k draws from one digest per claim, no sort, no lambda.
+    Partial Fisher-Yates over the places 0..n-1 of the active ids in order: step
+    j draws r_j = j + floor(u_j * (n - j)), takes A_j[r_j] and swaps it into
+    place. Entries of A_j are expressions over the drawn places, so each pick is
+    a CASE -- k draws from one digest per claim, no sort, no lambda. The places
+    picked meet the ids by a join on the place, so the dimension may be of any
+    size; the ids are numbered over the dimension's own rows only.
     """
-    estimate = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(estimate) > MAX_POOL_BYTES:
-        raise ValueError(
-            f"sampling pool from a dimension estimated at {int(estimate)} bytes; it is carried to every task as one "
-            f"array and must stay under {MAX_POOL_BYTES} bytes (the generator's fixed dimensions are a few KB)"
-        )
-    pool = dim.filter(F.col("active")).agg(F.array_sort(F.collect_list(dim_key))).scalar()
-    n = F.size(F.col("_pool"))
+    from claimlens.operators.numbering import number_rows
+
+    active = number_rows(dim.filter(F.col("active")).select(dim_key), dim_key, "_place")
+    n_active = dim.select(F.count_if(F.col("active"))).scalar()
+    n = F.col("_n")
     base = claims_df.select(
-        "claim_id", k.alias("_k"), pool.alias("_pool"), digest(seed, F.col("claim_id"), salt).alias("_d")
+        "claim_id", k.alias("_k"), n_active.cast("long").alias("_n"), digest(seed, F.col("claim_id"), salt).alias("_d")
     )
     base = base.select("*", *[
-        F.when(n > j, F.lit(j) + F.floor(from_digest(F.col("_d"), j) * (n - j)).cast("int")).alias(f"_r{j}")
+        F.when(n > j, F.lit(j) + F.floor(from_digest(F.col("_d"), j) * (n - j)).cast("long")).alias(f"_r{j}")
         for j in range(k_max)
     ])
 
     def entry(j: int, x: Column) -> Column:
-        # A_j[x] for x >= j (0-based); A_0 = P
+        # A_j[x] for x >= j; A_0 is every place itself
         if j == 0:
-            return F.element_at(F.col("_pool"), x + 1)
-        return F.when(x == F.col(f"_r{j - 1}"), entry(j - 1, F.lit(j - 1))).otherwise(entry(j - 1, x))
+            return x
+        return F.when(x == F.col(f"_r{j - 1}"), entry(j - 1, F.lit(j - 1).cast("long"))).otherwise(entry(j - 1, x))
 
     picks = [F.when(n > j, entry(j, F.col(f"_r{j}"))) for j in range(k_max)]
-    chosen = F.slice(F.array(*picks), 1, F.least(F.col("_k"), n))
-    return base.select("claim_id", F.posexplode(chosen).alias("pos", dim_key)).select(
+    chosen = F.slice(F.array(*picks), 1, F.least(F.col("_k"), n).cast("int"))
+    drawn = base.select("claim_id", F.posexplode(chosen).alias("pos", "_picked"))
+    return drawn.join(active, F.col("_picked") + 1 == F.col("_place")).select(
         "claim_id", dim_key, (F.col("pos") + 1).alias("pick_order")
     )
 

@@ -22,13 +22,14 @@ runs, and only the columns a report needs are read from Parquet.
 from __future__ import annotations
 
 import os
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import schemas as S
-from claimlens.functions import pick
+from claimlens.functions import padded, pick
 from claimlens.sources.model import ClaimsModel
 
 # Constant audit timestamp of derived rows (no report reads ``created_at``).
@@ -69,7 +70,7 @@ def providers(supplier: DataFrame) -> DataFrame:
     return supplier.select(
         k.alias("provider_id"),
         F.col("s_name").alias("provider_name"),
-        F.concat(F.lit("NO"), F.lpad((F.lit(100000000) + k).cast("string"), 9, "0")).alias("org_number"),
+        F.concat(F.lit("NO"), padded(F.lit(100000000) + k, 9)).alias("org_number"),
         pick(k % 5, SORTED_PROVIDER_TYPES).alias("provider_type"),
         _region("s_nationkey").alias("region"),
         (k % 12 != 0).alias("active"),
@@ -77,7 +78,21 @@ def providers(supplier: DataFrame) -> DataFrame:
     )
 
 
+def regions_of_customers(customer: DataFrame) -> DataFrame:
+    """(region_key, region), one row per customer id."""
+    nation_of = customer.groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"))
+    return nation_of.select(F.col("c_custkey").alias("region_key"), _region("c_nationkey").alias("region"))
+
+
 def claims(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The claims with the region of their customer (NULL without one)."""
+    keyed = keyed_claims(orders, supplier)
+    columns = [F.col(f.name) for f in S.CLAIMS.fields]
+    return keyed.join(regions_of_customers(customer), "region_key", "left").select(*columns)
+
+
+def keyed_claims(orders: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The claims with the customer id as ``region_key`` in place of the region; map-only."""
     # Providers are numbered 0..n-1; claims go round the first n-1, so the last
     # provider never has a claim (it exercises the outer join of the provider view).
     # Needs at least two suppliers: with one, ANSI mode raises on the modulo by 0.
@@ -95,19 +110,15 @@ def claims(orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataF
     sex_bucket = cust % 100
     priority = F.substring(F.col("o_orderpriority"), 1, 1)
     paid = closed & (decision != "Rejected")
-    nation_of = customer.groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"))
-    joined = orders.select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    ).join(nation_of, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select(
+    return orders.select(
         key.alias("claim_id"),
         F.concat(
-            F.lit("CLM-"), F.date_format(received, "yyyyMMdd"), F.lit("-"), F.lpad(key.cast("string"), 10, "0")
+            F.lit("CLM-"), F.date_format(received, "yyyyMMdd"), F.lit("-"), padded(key, 10)
         ).alias("claim_reference"),
         (cust % 91).cast(T.ShortType()).alias("patient_age"),
         F.when(sex_bucket < 49, "M").when(sex_bucket < 98, "F").when(sex_bucket < 99, "X")
         .otherwise("U").alias("patient_sex"),
-        _region("c_nationkey").alias("region"),
+        cust.alias("region_key"),
         received.alias("received_date"),
         F.when(closed, F.date_add(received, (F.lit(1) + (key * 37) % 180).cast("int"))).alias("decision_date"),
         F.when(closed, "Closed").when(F.col("o_orderstatus") == "O", "InReview")
@@ -131,7 +142,7 @@ def medical_codes(part: DataFrame) -> DataFrame:
     return part.select(
         k.alias("medical_code_id"),
         system.alias("code_system"),
-        F.concat(F.lit("C"), F.lpad(k.cast("string"), 8, "0")).alias("code"),
+        F.concat(F.lit("C"), padded(k, 8)).alias("code"),
         F.col("p_name").alias("code_title"),
         (k % 20 != 0).alias("active"),
         _created_at(),
@@ -188,18 +199,46 @@ def claim_injuries(lineitem: DataFrame) -> DataFrame:
     )
 
 
+class DerivedModel(ClaimsModel):
+    """The six tables over the driver tables in ``sf_dir``; each is planned when first asked for,
+    so a report plans and lists only the files it reads."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        object.__setattr__(self, "_spark", spark)
+        object.__setattr__(self, "_dir", sf_dir)
+
+    def _read(self, name: str) -> DataFrame:
+        return read_source(self._spark, self._dir, name)
+
+    @cached_property
+    def providers(self) -> DataFrame:
+        return providers(self._read("supplier"))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return claims(self._read("orders"), self._read("customer"), self._read("supplier"))
+
+    @cached_property
+    def medical_codes(self) -> DataFrame:
+        return medical_codes(self._read("part"))
+
+    @cached_property
+    def claim_medical_codes(self) -> DataFrame:
+        return claim_medical_codes(self._read("lineitem"))
+
+    @cached_property
+    def injury_types(self) -> DataFrame:
+        return injury_types(self._spark)
+
+    @cached_property
+    def claim_injuries(self) -> DataFrame:
+        return claim_injuries(self._read("lineitem"))
+
+    @cached_property
+    def region_source(self) -> tuple[DataFrame, DataFrame]:
+        return keyed_claims(self._read("orders"), self._read("supplier")), regions_of_customers(self._read("customer"))
+
+
 def derive_model(spark: SparkSession, sf_dir: str) -> ClaimsModel:
     """The six claims tables, lazily derived from the driver tables in ``sf_dir``."""
-    supplier = read_source(spark, sf_dir, "supplier")
-    customer = read_source(spark, sf_dir, "customer")
-    orders = read_source(spark, sf_dir, "orders")
-    lineitem = read_source(spark, sf_dir, "lineitem")
-    part = read_source(spark, sf_dir, "part")
-    return ClaimsModel(
-        providers=providers(supplier),
-        claims=claims(orders, customer, supplier),
-        medical_codes=medical_codes(part),
-        claim_medical_codes=claim_medical_codes(lineitem),
-        injury_types=injury_types(spark),
-        claim_injuries=claim_injuries(lineitem),
-    )
+    return DerivedModel(spark, sf_dir)

@@ -9,16 +9,17 @@ aggregates instead of recomputing the views from all claims:
 * the aggregates are the same conditional counts and sums as the batch
   views; Spark keeps one state row per month / region in the state store,
   so state stays small however many claims arrive;
-* in complete mode every micro-batch carries the whole (small) view, which
-  ``foreachBatch`` writes as a new version folder of the view; ``read_view``
-  returns the newest *committed* version, so a reader never sees a
-  half-written view, and a replayed batch after a failure rewrites the same
-  version. Offsets and state live in the checkpoint folder, which must be on
-  shared storage (by default under ``spark.checkpoint.dir``); use one
-  checkpoint per output folder (versions follow its batch ids).
-
-Claims are facts that arrive once; a claim's later status change arrives as
-a corrected file of the batch layer, not through this stream. The provider
+* in complete mode every micro-batch carries the whole (small) aggregate;
+  ``foreachBatch`` finishes the view, writes it to the next of a few folders
+  and then appends the batch id to the view's list of commits. ``read_view``
+  reads the folder of the last commit, so a reader never sees a half-written
+  view, and a replayed batch after a failure rewrites its own folder. Offsets
+  and state live in the checkpoint folder, which must be on shared storage (by
+  default under ``spark.checkpoint.dir``); use one checkpoint per output folder
+  (folders follow its batch ids).
+
+The streams are insert-only: a claim counts each time it arrives, so a later
+status change or a repeated claim belongs in the batch layer. The provider
 view (an outer join after aggregation, which streaming does not support) is
 refreshed by the batch job.
 """
@@ -28,10 +29,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimlens import schemas as S
-from claimlens.plans.views import monthly_kpi, region_kpi
+from claimlens.plans.views import monthly_kpi, monthly_pairs, region_kpi
 from claimlens.session import shared_path
 
 
@@ -42,39 +44,27 @@ def read_claims_stream(spark: SparkSession, source_dir: str, max_files_per_trigg
     return reader.parquet(source_dir)
 
 
-# The batch definitions are stream-compatible (conditional counts and sums
-# over one grouped aggregation), so the streams reuse them as they are.
+# What the stream aggregates, and how a batch of it becomes the view.
 STREAMED_VIEWS = {
-    "vw_monthly_kpi": monthly_kpi,
-    "vw_region_kpi": region_kpi,
+    "vw_monthly_kpi": (monthly_pairs, monthly_kpi),
+    "vw_region_kpi": (region_kpi, lambda view: view),
 }
 
+#: Folders a view's versions take in turn; readers of the last ones are not disturbed.
+SLOTS = 4
 
-def _versions(spark: SparkSession, view_dir: str) -> list[str]:
-    """Committed versions of a view folder (those with ``_SUCCESS``), oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(view_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(root) if st.getPath().getName().startswith("v="))
-    return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(view_dir, n, "_SUCCESS")))]
 
+def _slot(view_dir: str, batch_id: int) -> str:
+    return os.path.join(view_dir, f"slot={batch_id % SLOTS}")
 
-def _publish(view_dir: str, keep: int = 3):
-    """foreachBatch sink: each micro-batch writes a new version folder; Spark's
-    committer writes ``_SUCCESS`` last, so readers (``read_view``) only ever
-    see complete versions. A replayed batch rewrites its own version (same
-    batch id). Older committed versions beyond ``keep`` are removed."""
+
+def _publish(view_dir: str, finish):
+    """foreachBatch sink: the version first, then its commit."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(view_dir, f"v={batch_id:012d}"))
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for old in _versions(spark, view_dir)[:-keep]:
-            path = jvm.org.apache.hadoop.fs.Path(os.path.join(view_dir, old))
-            path.getFileSystem(conf).delete(path, True)
+        finish(batch).write.mode("overwrite").parquet(_slot(view_dir, batch_id))
+        commit = batch.sparkSession.range(batch_id, batch_id + 1, numPartitions=1).withColumnRenamed("id", "batch_id")
+        commit.write.mode("append").parquet(os.path.join(view_dir, "commits"))
 
     return write
 
@@ -82,10 +72,8 @@ def _publish(view_dir: str, keep: int = 3):
 def read_view(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     """The newest complete version of a streamed view."""
     view_dir = os.path.join(out_dir, name)
-    versions = _versions(spark, view_dir)
-    if not versions:
-        raise FileNotFoundError(f"no committed version of {name} under {out_dir}")
-    return spark.read.parquet(os.path.join(view_dir, versions[-1]))
+    commits = spark.read.schema("batch_id long").parquet(os.path.join(view_dir, "commits"))
+    return spark.read.parquet(_slot(view_dir, commits.agg(F.max("batch_id")).first()[0]))
 
 
 def start_view_refresh(
@@ -104,11 +92,11 @@ def start_view_refresh(
     """
     base = checkpoint_dir or shared_path(spark, "streaming")
     queries = []
-    for name, build in STREAMED_VIEWS.items():
+    for name, (build, finish) in STREAMED_VIEWS.items():
         view = build(read_claims_stream(spark, source_dir))
         writer = (
             view.writeStream.outputMode("complete")
-            .foreachBatch(_publish(os.path.join(out_dir, name)))
+            .foreachBatch(_publish(os.path.join(out_dir, name), finish))
             .option("checkpointLocation", os.path.join(base, name))
             .queryName(f"refresh_{name}")
         )

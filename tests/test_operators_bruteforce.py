@@ -138,10 +138,9 @@ def test_dual_date_monthly(spark, seed):
     df = spark.createDataFrame(rows, "id long, opened date, closed date, flag boolean").repartition(4)
     out = dual_date_monthly(
         df, "opened", "closed",
-        lambda o, c: [count_where(o).alias("opened_n"), count_where(c & F.col("flag")).alias("closed_flagged")],
-        month_name="month",
+        {"opened_n": F.count(F.lit(1))}, {"closed_flagged": count_where(F.col("flag"))}, month_name="month",
     )
-    got = {r.month: (r.opened_n, r.closed_flagged) for r in out.collect()}
+    got = {r.month: (r.opened_n or 0, r.closed_flagged or 0) for r in out.collect()}
     pdf = pd.DataFrame(rows, columns=["id", "opened", "closed", "flag"])
     month = lambda d: d.replace(day=1)
     spine = {month(d) for d in pdf.opened} | {month(d) for d in pdf.closed.dropna()}

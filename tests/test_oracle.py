@@ -7,9 +7,10 @@ from conftest import SF_SMALL
 from harness import compare, duck
 
 import __spark_entry__ as entry
+from claimlens.plans.registry import ALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in ALL}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

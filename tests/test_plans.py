@@ -7,7 +7,8 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as entry
 from claimlens.plans import reports, views
-from claimlens.sources import ClaimsModel
+from claimlens.plans.registry import ALL, REPORTS
+from claimlens.sources import ClaimsModel, derive_model
 
 
 def physical(df) -> str:
@@ -23,7 +24,7 @@ def stored(spark, small_model, tmp_path_factory) -> ClaimsModel:
     return small_model.materialize(str(tmp_path_factory.mktemp("model")))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_no_cartesian_no_python(spark, name):
     plan = physical(entry.queries()[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
@@ -53,9 +54,23 @@ def test_top_per_group_limits_before_shuffle(stored):
     assert "WindowGroupLimit" in plan, plan
 
 
-def test_i08_broadcasts_only_the_top_rows(stored):
-    plan = physical(reports.i08_top_payouts(stored))
-    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan, plan
+def test_i08_takes_the_top_before_any_exchange(spark, stored):
+    for model in (stored, derive_model(spark, SF_SMALL)):
+        lines = physical(reports.i08_top_payouts(model)).splitlines()
+        at = [i for i, ln in enumerate(lines) if "TakeOrderedAndProject" in ln and "claim_amount_nok" in ln]
+        below = lines[at[-1] + 1:]  # the top claims, before any lookup
+        scan = next(i for i, ln in enumerate(below) if "FileScan" in ln and ("orders.parquet" in ln or "/claims]" in ln))
+        own = [ln for ln in below[:scan] if "Subquery" not in ln]
+        start = next((i for i, ln in enumerate(own) if "AdaptiveSparkPlan" in ln), len(own))  # the supplier count's own plan
+        assert not any("Exchange" in ln or "Join" in ln for ln in own[:start]), "\n".join(lines)
+
+
+@pytest.mark.parametrize("report", ["q05_claims_by_region", "q09b_avg_days_by_region", "i02_approval_by_region",
+                                    "i04_backlog_by_region", "v2_region_kpi", "i05_top_provider_per_region"])
+def test_region_reports_sum_before_the_lookup(spark, report):
+    lines = optimized(REPORTS[report](derive_model(spark, SF_SMALL))).splitlines()
+    join = next(i for i, ln in enumerate(lines) if "Join LeftOuter" in ln)
+    assert "Aggregate [region_key" in lines[join + 1], "\n".join(lines)
 
 
 def test_share_of_total_has_no_fact_sized_join(stored):
@@ -142,11 +157,13 @@ def test_hot_claim_is_split_by_adaptive_skew_join(spark, small_model):
 
 
 @pytest.mark.parametrize("report", [reports.i05_top_provider_per_region, reports.i06_top_code_per_region])
-def test_rank_before_dimension_lookup(stored, report):
+def test_ranks_counts_that_met_the_dimension(stored, report):
+    """Ranking, below it the lookup (orphans take no rank), below that the counts (no raw row is looked up)."""
     lines = optimized(report(stored)).splitlines()
-    lookup = next(i for i, ln in enumerate(lines) if "Join Inner" in ln)
     window = next(i for i, ln in enumerate(lines) if "Window [" in ln)
-    assert lookup < window, "\n".join(lines)  # the lookup join sits above (after) the ranking
+    lookup = next(i for i, ln in enumerate(lines) if "Join Inner" in ln)
+    counted = next(i for i, ln in enumerate(lines) if "Aggregate [region" in ln)
+    assert window < lookup < counted, "\n".join(lines)
 
 
 @pytest.mark.parametrize("name", ["q02_status_share", "q03_decision_share_closed", "s2_status_pct"])

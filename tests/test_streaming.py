@@ -51,9 +51,7 @@ def test_readers_skip_uncommitted_versions(spark, small_model, tmp_path):
     small_model.claims.write.parquet(source)
     for q in start_view_refresh(spark, source, out, ckpt, available_now=True):
         q.awaitTermination(120)
-    # a later version still being written: data files but no _SUCCESS yet
-    partial = os.path.join(out, "vw_region_kpi", "v=999999999999")
-    small_model.claims.limit(3).write.parquet(partial)
-    os.remove(os.path.join(partial, "_SUCCESS"))
+    # a later version written but not committed yet
+    small_model.claims.limit(3).write.parquet(os.path.join(out, "vw_region_kpi", "slot=3"))
     got = read_view(spark, out, "vw_region_kpi")
     assert "region" in got.columns and got.count() == views.v2_region_kpi(small_model).count()

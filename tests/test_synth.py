@@ -73,12 +73,13 @@ def test_dates_and_shares(spark):
     assert abs(share - 0.18) < 0.02 and abs(chained - 0.3116) < 0.02
 
 
-def test_sampling_pool_must_be_small(spark):
-    import pytest as _pytest
-
+def test_samples_from_a_dimension_of_any_size(spark):
     from claimlens.sources.synth import sample_per_claim
 
-    claims = spark.range(1, 10).withColumnRenamed("id", "claim_id")
-    huge = spark.range(0, 10**10).select(F.col("id").alias("medical_code_id"), F.lit(True).alias("active"))
-    with _pytest.raises(ValueError, match="sampling pool"):
-        sample_per_claim(claims, huge, "medical_code_id", F.lit(1), 1, 7, "x")
+    claims = spark.range(1, 2001).withColumnRenamed("id", "claim_id")
+    dim = spark.range(0, 300_000).select((F.col("id") * 7 + 3).alias("medical_code_id"), (F.col("id") % 3 != 0).alias("active"))
+    rows = sample_per_claim(claims, dim, "medical_code_id", F.lit(3), 3, 7, "x").collect()
+    assert len(rows) == 6000 and all((r.medical_code_id - 3) // 7 % 3 for r in rows)
+    assert len({(r.claim_id, r.medical_code_id) for r in rows}) == 6000 and len({r.medical_code_id for r in rows}) > 5800
+    assert rows and sorted(map(tuple, rows)) == sorted(map(tuple, sample_per_claim(
+        claims.repartition(3), dim.repartition(5), "medical_code_id", F.lit(3), 3, 7, "x").collect()))
