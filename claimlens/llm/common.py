@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimlens.session import shared_dir
 
@@ -34,19 +36,41 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     """``df`` written once to the cluster's shared folder and read back.
 
+    ``small`` tables, of which many partitions would be nearly empty files, take no more
+    files than the cluster has cores.
+
     Cuts the lineage: later stages and retries read the files. Local runs
     without ``spark.checkpoint.dir`` get a temporary folder.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark, create_local=spark.sparkContext.master.startswith("local[")),
                         f"{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a record batch that goes to Python; texts are long, and a worker holds a few copies.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with bounded memory in the Python workers: the session's Arrow
+    batches are kept to ``BATCH_BYTES`` (a longer row is a batch of its own), and a task
+    hands freed memory back, as workers outlive their tasks."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def to_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null becomes empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
@@ -66,6 +90,12 @@ def batches_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """``batches_of`` as record batches."""
+    for table in batches_of(batches, max_bytes):
+        yield from table.to_batches()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of the ranges [start, start + length)."""
     total = int(lengths.sum())

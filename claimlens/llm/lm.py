@@ -47,15 +47,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import ragged, written
+from claimlens.llm.common import arrow_map, gathered, ragged, written
 from claimlens.llm.elias_fano import Trie, lay, mapped
 from claimlens.llm.tokens import mixed, text_slices, word_hashes, word_ids
 
 DISCOUNT, PRIOR, LONGER = 0.5, 1e-4, 100.0
 #: Bytes of text whose paths a shard takes; documents of the plan's sample a shard; share of a shard that makes a path frequent.
-SHARD_BYTES, SAMPLE_DOCS, FREQUENT = 12 << 20, 20, 0.25
-#: Bytes of text for whose shards one task keeps sums; bytes of text a slice has.
-TASK_BYTES, SLICE = 512 << 20, 8 << 20
+SHARD_BYTES, SAMPLE_DOCS, FREQUENT = 6 << 20, 10, 0.25
+#: Bytes of text for whose shards one task keeps sums; bytes of text a slice has (a path goes once a slice).
+TASK_BYTES, SLICE = 512 << 20, 4 << 20
 
 START, END, NONE = np.uint64(1), np.uint64(2), np.uint64(3)
 _W, _V, _U = (np.uint64((1 << b) - 1) for b in Trie.ID_BITS)
@@ -143,7 +143,7 @@ def frequent(docs: DataFrame, candidates: Plan | None, least: float) -> tuple[Pl
     ``least`` occurrences, or of ``candidates`` all with their training counts; and the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, SLICE):
             train = np.array(batch.column(2).to_pylist(), bool)
             for first, texts in text_slices(batch, 1, SLICE):
                 p = Paths.of(texts)
@@ -160,7 +160,7 @@ def frequent(docs: DataFrame, candidates: Plan | None, least: float) -> tuple[Pl
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
                     ["level", "key", "n", "taught", "docs"])
 
-    sums = docs.mapInArrow(run, "level int, key long, n long, taught long, docs long").groupBy("level", "key").agg(
+    sums = arrow_map(docs, run, "level int, key long, n long, taught long, docs long").groupBy("level", "key").agg(
         F.sum("n").alias("n"), F.sum("taught").alias("taught"), F.sum("docs").alias("docs"))
     if candidates is None:
         total = sums.filter("level = -1").first()
@@ -216,7 +216,7 @@ def _packed(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(lay(arrays))
 
 
-def _unpacked(payload: bytes) -> list[np.ndarray]:
+def _unpacked(payload) -> list[np.ndarray]:
     return mapped(zstandard.ZstdDecompressor().decompress(payload))
 
 
@@ -233,7 +233,7 @@ def _answers(plan: Plan, w: np.ndarray, vw: np.ndarray, uvw: np.ndarray, end: np
 def _sender(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, slice_no = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, SLICE):
             train = np.array(batch.column(2).to_pylist(), bool)
             for first, texts in text_slices(batch, 1, SLICE):
                 number, slice_no = (part << 32) + slice_no, slice_no + 1
@@ -337,13 +337,16 @@ def _step(trie: Trie, level: int, parent: np.ndarray, ids: np.ndarray) -> np.nda
     return out
 
 
-def _answer_shard(plan: Plan, messages: list[tuple[int, bytes]]) -> tuple[int, list[tuple[int, np.ndarray, list[np.ndarray]]]]:
+def _answer_shard(plan: Plan, messages: list[tuple[int, pa.Buffer]]) -> tuple[int, list[tuple[int, np.ndarray, list[np.ndarray]]]]:
     """Distinct words the shard adds, and for each message the texts it names and their sums."""
     parts = [_unpacked(p) for _, p in messages]
     w = np.concatenate([_numbers(x[0], 8) for x in parts])
     v = np.concatenate([_numbers(x[1], 5) for x in parts])
     u = np.concatenate([_numbers(x[2], 4) for x in parts])
     count = np.concatenate([x[3].astype(np.int64) for x in parts])
+    texts_of = [(x[4].copy(), x[5].copy()) for x in parts]
+    sizes = [len(x[3]) for x in parts]
+    del parts
     order = np.lexsort((u, v, w))
     w, v, u, count = w[order], v[order], u[order], count[order]
     # Frequent words and pairs are nodes here even if their training paths are elsewhere.
@@ -358,14 +361,14 @@ def _answer_shard(plan: Plan, messages: list[tuple[int, bytes]]) -> tuple[int, l
     known = np.where(seen, words[np.maximum(node, 0)] if len(words) else 0.0, 0.0)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
+    base = np.log10(known + 0.1)
     out, at = [], 0
-    for (batch, _), x in zip(messages, parts):
-        own = back[at:at + len(x[3])]
-        at += len(x[3])
-        often = x[4].astype(np.int64)
-        texts = x[5].astype(np.int64)
+    for (batch, _), size, (often, texts) in zip(messages, sizes, texts_of):
+        own = back[at:at + size]
+        at += size
+        often, texts = often.astype(np.int64), texts.astype(np.int64)
         n = int(texts.max()) + 1
-        out.append((batch, n, _sums(n, texts, *(np.repeat(y[own], often) for y in (lm, np.log10(known + 0.1), seen.astype(np.float64))))))
+        out.append((batch, n, _sums(n, texts, *(np.repeat(y[own], often) for y in (lm, base, seen)))))
     return fresh, out
 
 
@@ -409,7 +412,9 @@ def _shards(plan: Plan, held: int = 48 << 20):
                 [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["sub", "batch", "kind", "payload"])
 
         for b in batches:
-            for sub, batch, kind, payload in zip(*(c.to_pylist() for c in b.columns)):
+            # Payloads stay where Arrow has them until their shard's turn.
+            for i, (sub, batch, kind) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]))):
+                payload = b.column(3)[i].as_buffer()
                 if sub != now:
                     close()
                     now = sub
@@ -418,7 +423,7 @@ def _shards(plan: Plan, held: int = 48 << 20):
                 if kind == _PATHS:
                     waiting.append((batch, payload))
                 else:
-                    out.append((sub, batch, kind, payload))
+                    out.append((sub, batch, kind, payload.to_pybytes()))
             if out:
                 yield table()
         close()
@@ -449,8 +454,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     plan = make_plan(rows)
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, plan.shards * SHARD_BYTES // TASK_BYTES)
     answers = written(
-        rows.mapInArrow(_sender(plan), _MESSAGES)
-        .repartition(parts, "sub").sortWithinPartitions("sub").mapInArrow(_shards(plan), _MESSAGES), "answers")
+        arrow_map(arrow_map(rows, _sender(plan), _MESSAGES).repartition(parts, "sub").sortWithinPartitions("sub"),
+                  _shards(plan), _MESSAGES), "answers")
     # Words are counted where they have their one shard; frequent ones are the plan's.
     distinct = (answers.filter(F.col("kind") == _WORDS).agg(F.sum("batch")).first()[0] or 0) + int((plan.counts[0] > 0).sum())
     kind = docs.schema[id_col].dataType.simpleString()
