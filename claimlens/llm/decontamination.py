@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimlens.llm.common import ALNUM_WORDS, batches_of, code_points_before, ragged, to_bytes
+from claimlens.llm.common import ALNUM_WORDS, arrow_map, batches_of, code_points_before, ragged, to_bytes
 from claimlens.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -175,7 +175,7 @@ def find_contamination(
     contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     passes = [
-        docs.select(id_col, text_col).mapInArrow(
+        arrow_map(docs.select(id_col, text_col),
             _finder(Phrases.of(block, window), id_col, text_col, shard_bytes), f"`{id_col}` {id_type}, {RESULT_SQL}")
         for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     ]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import ALNUM_WORDS, ragged
+from claimlens.llm.common import ALNUM_WORDS, arrow_map, ragged
 from claimlens.llm.tokens import text_slices, word_hashes
 
 UNDETERMINED = "und"
@@ -280,7 +280,7 @@ def lexicon_counts(docs: DataFrame, languages: list[str], text_col: str, lang_co
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), *(pa.array(table[some, i]) for i in range(k))], ["bucket", *names])
 
-    sums = docs.select(text_col, lang_col).mapInArrow(run, ", ".join(["bucket int", *(f"{n} long" for n in names)])).groupBy("bucket").agg(
+    sums = arrow_map(docs.select(text_col, lang_col), run, ", ".join(["bucket int", *(f"{n} long" for n in names)])).groupBy("bucket").agg(
         *[F.sum(n).alias(n) for n in names])
     counts = np.zeros((LEXICON, k))
     for r in sums.collect():  # one row a bucket
@@ -335,7 +335,7 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
                 [id_col, "lang_pred", "score", "n_words", "n_switches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(
+    return arrow_map(docs.select(id_col, text_col),
         run, f"`{id_col}` {kind}, lang_pred string, score double, n_words long, n_switches long")
 
 
@@ -347,4 +347,4 @@ def keep(docs: DataFrame, tagger: Tagger, least: float, text_col: str = "text")
             best, score, *_ = _judged(tagger, batch, batch.schema.names.index(text_col))
             yield batch.filter(pa.array((best < len(tagger.languages)) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

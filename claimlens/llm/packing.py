@@ -37,7 +37,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import to_bytes, written
+from claimlens.llm.common import arrow_map, to_bytes, written
 
 SEQUENCE = 1024
 END_ID = 2
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, ranks_path: str, longest: int = SEQUENCE, id_col: st
                 ["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")),
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -258,6 +258,6 @@ def pack(docs: DataFrame, ranks_path: str, longest: int = SEQUENCE, id_col: str
         .select("id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("k")).alias("rank"))
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(
-        _placer(places), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+    return arrow_map(
+        ranked, _placer(places), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     ).withColumnRenamed("id", id_col)

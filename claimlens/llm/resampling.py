@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import written
+from claimlens.llm.common import arrow_map, written
 from claimlens.llm.tokens import mixed, text_slices, word_hashes, word_ids
 
 BUCKET_BITS = 14
@@ -70,7 +70,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "
     )
     marked = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"], "left").select(
         F.col(text_col).alias("t"), F.col("__id").isNotNull().alias("good"))
-    sums = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(
+    sums = arrow_map(marked, _count, "bucket int, raw long, target long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.collect():  # one row a bucket
@@ -94,7 +94,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.array(total)], ["id", "n_grams", "log_weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")),
         run, f"id {kind}, n_grams long, log_weight double")
 
 
