@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DRIVER_TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "benchmark", "labels",
 ]
 
 

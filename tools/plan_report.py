@@ -18,7 +18,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as entry  # noqa: E402
+from claimlens.plans.registry import ALL, run_any  # noqa: E402
 
 from claimlens.session import build_session  # noqa: E402
 
@@ -58,8 +58,8 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     print("| key | scans | shuffles | broadcasts | joins | scale-relevant operators |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, fn in entry.queries().items():
-        df = fn(spark, sf_dir)
+    for name in ALL:
+        df = run_any(spark, sf_dir, name)
         formatted = df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
         d = describe(formatted)
