@@ -46,8 +46,9 @@ def written(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     without ``spark.checkpoint.dir`` get a temporary folder.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark, create_local=spark.sparkContext.master.startswith("local[")),
-                        f"{what}-{uuid.uuid4().hex}")
+    local = spark.sparkContext.master.partition("[")[0] == "local"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark, create_local=local)
+    path = os.path.join(folder, f"{what}-{uuid.uuid4().hex}")
     (df.coalesce(spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,8 @@ found from pre-aggregated cells: the first round sums bytes per 12-bit prefix
 (partial aggregation: at most 4,096 rows leave each task), decides every depth
 up to 12 from them, and only prefixes still over the limit go to a next round
 with further bits. Directory and cells stay DataFrames; the driver sees two
-numbers a round.
+numbers a round. Rows are hashed anew in each round; nothing as large as the input is
+written or shuffled.
 
 Defined results: a null key part or text counts as empty; an empty table gives
 no rows; an empty text has 0 bytes. Rows whose key parts are all equal have the
@@ -53,7 +54,7 @@ def directory_cells(slim: DataFrame, limit: int, first_bits: int = FIRST_BITS) -
         cells = written(
             rows.groupBy(prefix(F.col("h"), high).alias("cell"))
             .agg(F.sum("n_bytes").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi")),
-            "cells",
+            "cells", small=True,
         )
         # Each cell tells its sum to its bucket of every depth of this round; partial aggregation first.
         at = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
@@ -68,7 +69,7 @@ def directory_cells(slim: DataFrame, limit: int, first_bits: int = FIRST_BITS) -
             .select("cell", F.col("leaf.depth").alias("depth"), F.col("leaf.shard_bytes").alias("shard_bytes"),
                     (F.col("leaf.shard_bytes") > limit).alias("oversized"))
         )
-        settled = written(settled, "directory")
+        settled = written(settled, "directory", small=True)
         rounds.append((high, settled))
         open_cells = cells.join(settled, "cell", "left_anti")
         left, largest = open_cells.agg(F.count("*"), F.max("s")).first()
@@ -84,13 +85,10 @@ def assign_shards(df: DataFrame, id_col: str, text_col: str, limit: int) -> Data
 
     The key is the id and the text, so that repeated ids still split.
     """
-    slim = written(
-        df.select(
-            F.col(id_col).alias("id"),
-            key_hash(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("h"),
-            F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-        ),
-        "slim",
+    slim = df.select(
+        F.col(id_col).alias("id"),
+        key_hash(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("h"),
+        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
     )
     parts = [
         slim.withColumn("cell", prefix(F.col("h"), bits)).join(settled, "cell")
