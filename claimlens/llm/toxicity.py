@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import ALNUM_WORDS, LOWER_AZ, ragged, to_bytes
+from claimlens.llm.common import ALNUM_WORDS, LOWER_AZ, arrow_map, ragged, to_bytes
 
 SAMPLE = 4_000
 FOLDS = 3
@@ -110,9 +110,13 @@ class Model:
         return out
 
 
-def _telling(of: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(ALNUM_WORDS).split()
+
+
+def _telling(of: list[bytes], other: list[bytes]) -> list[bytes]:
     """Each text of a class reduced to the words that are far more frequent in it."""
-    a, b = (Counter(w for t in texts for w in set(t)) for texts in (of, other))
+    a, b = (Counter(w for t in texts for w in set(_words(t))) for texts in (of, other))
     n, m = len(of), len(other)
 
     def tells(word: bytes) -> bool:
@@ -120,7 +124,7 @@ def _telling(of: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
         return p > RATIO * q and p - q > Z_SCORE * np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
 
     words = {w for w, c in a.items() if c > max(2, SHARE * n) and tells(w)}
-    return [b" ".join(kept) for t in of if (kept := [w for w in t if w in words])]
+    return [b" ".join(kept) for t in of if (kept := [w for w in _words(t) if w in words])]
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float | None = None) -> Model:
@@ -133,12 +137,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float |
     folds = sorted(set(fold.tolist()))
     if len(folds) < 2 or any(len(set(toxic[fold != f].tolist())) < 2 for f in folds):
         return model
-    words = [t.translate(ALNUM_WORDS).split() for t in texts]
     plain = [t.translate(LOWER_AZ) for t, y in zip(texts, toxic) if not y]
     base = _train([t[at:at + 256] for t in plain for at in range(0, len(t), 256)], BASE_BYTES, 16)
 
     def dictionaries(rows: np.ndarray) -> tuple[bytes, bytes]:
-        bad, fine = ([words[i] for i in np.flatnonzero(rows & (toxic == c))] for c in (True, False))
+        bad, fine = ([texts[i] for i in np.flatnonzero(rows & (toxic == c))] for c in (True, False))
         samples = _telling(bad, fine), _telling(fine, bad)
         return tuple((_train(x, OWN_BYTES, 16)[-OWN_BYTES:] if x else b"").rjust(OWN_BYTES) + base for x in samples)
 
@@ -184,4 +187,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(to_bytes(b.column(1))))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
