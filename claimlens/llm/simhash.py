@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimlens.llm.common import LOWER_AZ, to_bytes, written
+from claimlens.llm.common import LOWER_AZ, arrow_map, to_bytes, written
 
 SHINGLE = 3
 SEED = 42
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["id", "fp", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long, text_hash long")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, f"id {kind}, fp long, text_hash long")
 
 
 def masks(rounds: int = 3) -> list[list[tuple[int, int]]]:
@@ -197,19 +197,16 @@ def links(distinct: DataFrame, limit: int = MAX_BITS, group: int = GROUP) -> Dat
             "fp", F.col("c.m").alias("m"), F.col("fp").bitwiseAND(F.col("c.bits")).alias("key"))
         sizes = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).filter("n > 1")
         if level < len(levels) - 1:
-            sizes = written(sizes, "groups")
+            sizes = written(sizes, "groups", small=True)
             cold, hot = sizes.filter(F.col("n") <= group), sizes.filter(F.col("n") > group)
         else:  # 8 bits are left, so a group has 256 members at most
             cold, hot = sizes, None
-        part = (
-            keyed.join(cold.select("m", "key"), ["m", "key"])
-            .groupBy("m", "key").agg(F.collect_list("fp").alias("members")).select("members")
-            .mapInArrow(_forest(limit), "a long, b long")
-        )
+        members = keyed.join(cold.select("m", "key"), ["m", "key"]).groupBy("m", "key").agg(F.collect_list("fp").alias("members"))
+        part = arrow_map(members.select("members"), _forest(limit), "a long, b long")
         found = part if found is None else found.unionByName(part)
         if hot is None or hot.isEmpty():
             return found.distinct()
-        rows = written(keyed.join(hot.select("m", "key"), ["m", "key"], "left_semi").select("fp", "m"), "split")
+        rows = written(keyed.join(hot.select("m", "key"), ["m", "key"], "left_semi").select("fp", "m"), "split", small=True)
     return found.distinct()
 
 
@@ -218,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, until the edges stay as they are.
     """
-    edges, before = written(edges, "edges"), None
+    edges, before = written(edges, "edges", small=True), None
     while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
@@ -232,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Every smaller neighbour and the node itself point to the smallest.
         edges = written(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+            .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges", small=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_BITS) -> DataFrame:

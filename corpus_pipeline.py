@@ -49,7 +49,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents; the others stay as they are."""
     found = decontamination.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, written(found.filter("contaminated").select("doc_id", "text_hash"), "contaminated"))
+    return _without(docs, written(found.filter("contaminated").select("doc_id", "text_hash"), "contaminated", small=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
