@@ -73,6 +73,22 @@ def restored(code: np.ndarray) -> np.ndarray:
 # --- slices ---------------------------------------------------------------------------
 
 
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Hashes of the distinct words (then start, end and none), and for each token of the texts its
+    word, the word before and the one before that, as places among the hashes; tokens per text."""
+    ids, sizes, words = word_ids(texts)
+    h = np.concatenate((word_hashes(words) & _W, [START, END, NONE])).astype(np.uint64)
+    # Start, words, end of every text in a row.
+    n = len(words)
+    ends = np.cumsum(sizes + 2)
+    seq = np.full(int((sizes + 2).sum()), n, np.int64)
+    seq[ends - 1] = n + 1
+    seq[ragged(ends - sizes - 1, sizes)] = ids
+    at = ragged(ends - sizes - 1, sizes + 1)
+    w, v = seq[at], seq[at - 1]
+    return h, w, v, np.where(v == n, n + 2, seq[np.maximum(at - 2, 0)]), sizes + 1
+
+
 @dataclass
 class Paths:
     """The distinct paths of some texts, sorted by word, and where they occur."""
@@ -85,18 +101,9 @@ class Paths:
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Paths:
-        ids, sizes, words = word_ids(texts)
-        h = np.concatenate((word_hashes(words) & _W, [START, END, NONE])).astype(np.uint64)
-        # Start, words, end of every text in a row; places 0.. of the words in between.
-        n = len(words)
-        ends = np.cumsum(sizes + 2)
-        seq = np.full(int((sizes + 2).sum()), n, np.int64)
-        seq[ends - 1] = n + 1
-        seq[ragged(ends - sizes - 1, sizes)] = ids
-        owner = np.repeat(np.arange(len(texts)), sizes + 1)
-        at = ragged(ends - sizes - 1, sizes + 1)
-        w, v = seq[at], seq[at - 1]
-        u = np.where(v == n, n + 2, seq[np.maximum(at - 2, 0)])
+        h, w, v, u, sizes = tokens_of(texts)
+        n = len(h) - 3
+        owner = np.repeat(np.arange(len(texts)), sizes)
         pairs, pair_of = np.unique(w * (n + 3) + v, return_inverse=True)
         triples, path = np.unique(pair_of * (n + 3) + u, return_inverse=True)
         pair, u = triples // (n + 3), triples % (n + 3)
@@ -104,7 +111,7 @@ class Paths:
         hashes = h[w], h[v] & _V, h[u] & _U
         keys = [hashes[0], mixed(hashes[0], hashes[1])]
         keys.append(mixed(keys[1], hashes[2]))
-        return cls(hashes, keys, path, owner, sizes + 1)
+        return cls(hashes, keys, path, owner, sizes)
 
 
 @dataclass
@@ -146,16 +153,21 @@ def frequent(docs: DataFrame, candidates: Plan | None, least: float) -> tuple[Pl
         for batch in gathered(batches, SLICE):
             train = np.array(batch.column(2).to_pylist(), bool)
             for first, texts in text_slices(batch, 1, SLICE):
-                p = Paths.of(texts)
+                h, w, v, u, sizes = tokens_of(texts)
                 learn = train[first:first + len(texts)]
-                every = np.bincount(p.path, minlength=len(p.keys[0]))
-                taught = np.bincount(p.path[learn[p.owner]], minlength=len(every))
-                rows = [(-1, 0, int(every.sum()), int(taught.sum()), int(learn.sum()))]
-                for level, keys in enumerate(p.keys):
-                    some = np.arange(len(keys)) if candidates is None else np.flatnonzero(candidates.place(level, keys) >= 0)
-                    own, of = np.unique(keys[some], return_inverse=True)
-                    rows += zip([level] * len(own), own.view(np.int64).tolist(), np.bincount(of, every[some], len(own)).astype(np.int64).tolist(),
-                                np.bincount(of, taught[some], len(own)).astype(np.int64).tolist(), [0] * len(own))
+                teaches = np.repeat(learn, sizes)
+                rows = [(-1, 0, len(w), int(teaches.sum()), int(learn.sum()))]
+                # A path is a candidate only if what it begins with is, so ever fewer tokens are looked at.
+                some, keys = np.arange(len(w)), h[w]
+                for level, before in enumerate((None, v, u)):
+                    if level:
+                        keys = mixed(keys, h[before[some]] & (_V if level == 1 else _U))
+                    if candidates is not None:
+                        known = candidates.place(level, keys) >= 0 if level else (candidates.place(0, h) >= 0)[w]
+                        some, keys = some[known], keys[known]
+                    own, of = np.unique(keys, return_inverse=True)
+                    rows += zip([level] * len(own), own.view(np.int64).tolist(), np.bincount(of, minlength=len(own)).tolist(),
+                                np.bincount(of[teaches[some]], minlength=len(own)).tolist(), [0] * len(own))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
                     ["level", "key", "n", "taught", "docs"])
