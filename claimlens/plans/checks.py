@@ -20,9 +20,10 @@ from claimlens.operators import (
     duplicate_keys,
     key_violations,
     not_null_rules,
+    orphan_counts,
+    orphans,
     quarantine,
     row_counts,
-    orphan_counts,
     violation_report,
 )
 from claimlens.plans.regions import count_by_region
@@ -176,13 +177,19 @@ def c_unique(m: ClaimsModel) -> DataFrame:
 
 
 def c_foreign_key(m: ClaimsModel) -> DataFrame:
+    """Rows whose key has no parent. Dimension keys are counted per value first, so the
+    facts aren't moved; a bridge meets its claims row by row, as nearly every
+    claim id is a value of its own."""
     tables = m.tables()
-    return _union(
-        orphan_counts(tables[child], col, tables[parent], pcol)
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-        .select(F.lit(child).alias("table_name"), F.lit(f"fk_{col}_{parent}").alias("rule"), "violations")
-        for child, col, parent, pcol in S.FOREIGN_KEYS
-    )
+    frames = []
+    for child, col, parent, pcol in S.FOREIGN_KEYS:
+        if parent == "claims":
+            broken = orphans(tables[child], col, tables[parent], pcol).agg(F.count(F.lit(1)).alias("violations"))
+        else:
+            broken = orphan_counts(tables[child], col, tables[parent], pcol).agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+        frames.append(broken.select(F.lit(child).alias("table_name"), F.lit(f"fk_{col}_{parent}").alias("rule"), "violations"))
+    return _union(frames)
 
 
 def cascade_delete_claims(m: ClaimsModel, deleted: Column) -> ClaimsModel:
