@@ -8,8 +8,10 @@ go to a logistic model whose weights come from cross-fitting: each fold of the
 labelled sample is measured by dictionaries trained on the others.
 
 Dictionaries are small, so their training text is the part of the sample that tells
-the classes apart: words in at least a ``SHARE`` of one class's documents, ``RATIO``
-times as frequent there as in the other class, and beyond chance (``Z_SCORE``).
+the classes apart: words in at least ``LEAST`` of one class's documents, ``RATIO``
+times as frequent there as in the other class, and beyond chance (``Z_SCORE``). No share
+of the class is asked for, so a language with few of its documents has its words too, and
+each of the words is in the dictionary: those that training left out are put in front.
 
 Learning takes at most ``SAMPLE`` labelled documents of each class (those with the
 smallest hash of the id); scoring is one pass over all texts without shuffle, and the
@@ -23,6 +25,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,8 +43,8 @@ FOLDS = 3
 WINDOW, STEP = 48, 24
 BASE_BYTES, OWN_BYTES = 110_000, 2_048
 LEVEL = 9
-#: A telling word: its share of a class's documents, how much more frequent there, and how far beyond chance.
-SHARE, RATIO, Z_SCORE = 0.03, 5.0, 3.5
+#: A telling word: documents of a class that hold it, how much more frequent there, and how far beyond chance.
+LEAST, RATIO, Z_SCORE = 3, 5.0, 5.0
 GAIN_STEPS = (2, 3, 4, 5, 6, 7, 8, 10)
 _CHUNK = 100_000
 
@@ -121,12 +124,24 @@ def _telling(of: list[bytes], other: list[bytes]) -> list[bytes]:
 
     def tells(word: bytes) -> bool:
         p, q, both = a[word] / n, b[word] / m, (a[word] + b[word]) / (n + m)
-        return p > RATIO * q and p - q > Z_SCORE * np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
+        gain = sum(k * math.log(k / (of_all * chance)) for of_all, k, chance in (
+            (n, a[word], both), (n, n - a[word], 1 - both), (m, b[word], both), (m, m - b[word], 1 - both)) if k)
+        # The difference of shares is the keener test if the class is rare, the likelihood ratio if not.
+        return p > RATIO * q and (p - q > Z_SCORE * np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12) or 2 * gain > Z_SCORE ** 2)
 
-    words = {w for w, c in a.items() if c > max(2, SHARE * n) and tells(w)}
+    words = {w for w, c in a.items() if c >= LEAST and tells(w)}
     return [b" ".join(kept) for t in of if (kept := [w for w in _words(t) if w in words])]
 
 
+def _own(samples: list[bytes]) -> bytes:
+    """A class's own dictionary: the trained one behind the words that it lacks."""
+    if not samples:
+        return b""
+    trained = _train(samples, OWN_BYTES, 16)[-OWN_BYTES:]
+    held = set(trained.split())
+    return b" ".join([*sorted({w for t in samples for w in t.split()} - held), trained])
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float | None = None) -> Model:
     """Dictionaries from all rows; weights from rows scored by dictionaries that left out their fold.
 
@@ -142,8 +157,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, fold: np.ndarray, share: float |
 
     def dictionaries(rows: np.ndarray) -> tuple[bytes, bytes]:
         bad, fine = ([texts[i] for i in np.flatnonzero(rows & (toxic == c))] for c in (True, False))
-        samples = _telling(bad, fine), _telling(fine, bad)
-        return tuple((_train(x, OWN_BYTES, 16)[-OWN_BYTES:] if x else b"").rjust(OWN_BYTES) + base for x in samples)
+        own = _own(_telling(bad, fine)), _own(_telling(fine, bad))
+        size = max(OWN_BYTES, *map(len, own))  # padded alike: the base is as far away in both
+        return tuple(x.rjust(size) + base for x in own)
 
     full = np.array([bool(t.strip()) for t in texts])
     x, y = [], []

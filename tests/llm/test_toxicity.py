@@ -78,3 +78,25 @@ def test_held_out_accuracy(spark):
     bad, fine = (np.array([s for s, y in scored if y == c]) for c in (1, 0))
     assert (bad[:, None] > fine[None, :]).mean() > 0.95
     assert ((bad >= 0.5).sum() + (fine < 0.5).sum()) / len(scored) > 0.97
+
+
+def test_a_small_language_has_its_words():
+    rng = np.random.default_rng(3)
+    few, many = ([[f"{a}{b}" for b in "klmnprst"] for a in x] for x in (("zuvo",), ("bra", "dri", "glo")))
+    rows = [(many[i % 3] if i % 40 else few[0], i // 40 % 2) for i in range(6000)]  # one in forty: its words are in under 2% of a class
+    bad, fine = ([b" ".join(rng.choice(words, 5).astype("S") if y else [b"plain"]) + b" rest" for words, y in rows if y == c]
+                 for c in (1, 0))
+    words = set(b" ".join(T._telling(bad, fine)).split())
+    assert words >= {w.encode() for w in few[0]}
+    own = T._own(T._telling(bad, fine))
+    assert words <= set(own.split())
+
+
+def test_held_out_recall_of_every_language(spark):
+    language = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()}
+    hits = {}
+    for r in op8_toxicity(spark, SF).filter("held_out").collect():
+        if r.doc_id in toxic:
+            hits.setdefault(language[r.doc_id], []).append(r.predicted)
+    assert set(hits) == {"en", "de", "fr", "es"} and all(sum(h) >= 0.4 * len(h) for h in hits.values()), hits
