@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -58,6 +59,22 @@ def encoder(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The pattern's white space; the library's stack ends at runs of about a million characters of it.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+
+
+def encode(bpe: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text; long runs of white space are split by hand where the pattern splits them."""
+    parts, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        last = run.end() - (run.end() < len(text))  # the last one goes with what follows
+        piece = bpe._encode_single_piece(text[run.start():last])  # merged without the pattern
+        parts += [bpe.encode_to_numpy(text[at:run.start()], disallowed_special=()), np.array(piece, np.uint32)]
+        at = last
+    parts.append(bpe.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.uint32)
+
+
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than ``longest``."""
     first = n % longest or longest
@@ -74,7 +91,7 @@ def pieces(docs: DataFrame, ranks_path: str, longest: int = SEQUENCE, id_col: st
         for batch in batches:
             ids, rows = batch.column(0), []
             for d, text in enumerate(to_bytes(batch.column(1))):
-                tokens = np.concatenate((bpe.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.uint32), end))
+                tokens = np.concatenate((encode(bpe, text.decode()), end))
                 rows += [(d, k, s, n, zlib.crc32(tokens[s:s + n].astype("<u4").tobytes()))
                          for k, (s, n) in enumerate(cuts(len(tokens), longest))]
             of, k, s, n, crc = np.array(rows, np.int64).reshape(-1, 5).T

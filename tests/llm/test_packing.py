@@ -108,3 +108,14 @@ def test_beats_best_fit_on_a_large_histogram():
     h = np.random.default_rng(6).integers(0, 400, 257)
     h[0] = h[256] = 0
     assert sum(P.plan(h, 256).values()) <= sum(P.best_fit(h, 256).values())
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t 　"])
+def test_white_space_of_over_a_million_characters(spark, plain, run):
+    long = run * (1_200_000 // len(run))
+    texts = {1: f"before{long}after", 2: long, 3: f"a{long[:100_000]}'s{long[:99_999]}7", 4: "a text beside it"}
+    encoder = P.encoder(RANKS_PATH)
+    assert all(P.encode(encoder, t).tolist() == ids_of(plain, t)[:-1] for t in texts.values())
+    if run == " ":
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        check_packing(P.pack(df, RANKS_PATH).collect(), texts, plain, P.SEQUENCE)
