@@ -339,12 +339,12 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
         run, f"`{id_col}` {kind}, lang_pred string, score double, n_words long, n_switches long")
 
 
-def keep(docs: DataFrame, tagger: Tagger, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language with a score of ``least`` or more. No shuffle."""
+def keep(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score, *_ = _judged(tagger, batch, batch.schema.names.index(text_col))
-            yield batch.filter(pa.array((best < len(tagger.languages)) & (score >= least)))
+            best, *_ = _judged(tagger, batch, batch.schema.names.index(text_col))
+            yield batch.filter(pa.array(best < len(tagger.languages)))
 
     return arrow_map(docs, run, docs.schema)

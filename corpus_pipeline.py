@@ -14,9 +14,6 @@ from claimlens.llm import decontamination, langid, packing, secrets_scan, simhas
 from claimlens.llm.common import read_table, written
 from claimlens.llm.queries import RANKS
 
-#: A text's language must hold this mean marginal, or the text is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents that ``rejected`` doesn't name by doc_id and text_hash."""
@@ -26,9 +23,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that no language holds. The tagger
-    learns from the documents themselves."""
-    return langid.keep(docs, langid.train(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+    """Drops documents that op6 calls undetermined, those without a letter; texts in several
+    languages stay. The tagger learns from the documents themselves."""
+    return langid.keep(docs, langid.train(docs, F.lit(True)))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

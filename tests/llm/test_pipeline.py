@@ -101,3 +101,17 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_language_stage_keeps_every_lettered_document(spark, stages):
+    before, after = rows(stages[0]), rows(stages[1])
+    assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_language_stage_keeps_texts_of_several_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 400")
+    texts = {r.lang: r.text for r in docs.filter("lang IN ('en', 'de', 'fr')").orderBy("doc_id").collect()}
+    mixed = " ".join(" ".join(texts[c].split()[:n]) for c, n in (("en", 24), ("de", 18), ("fr", 18)))
+    row = docs.limit(1).withColumn("doc_id", P.F.lit(-1).cast("long")).withColumn("text", P.F.lit(mixed)).withColumn("lang", P.F.lit(None).cast("string"))
+    stage = dict(P.STAGES)["language_id"]
+    assert stage(spark, docs.unionByName(row), SF).filter("doc_id = -1").count() == 1
