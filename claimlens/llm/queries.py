@@ -24,7 +24,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash", "class_root")
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,7 +233,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_BITS) -> DataFrame:
-    """(id, fingerprint, component_id, text_hash) of each row."""
+    """(id, fingerprint, component_id, text_hash, class_root) of each row; class_root is one of the class's
+    fingerprints and names it, also where two classes have the same smallest id."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tied = components(links(distinct, limit))
@@ -242,11 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tied.select(F.col("root").alias("fp"), "root").distinct())
     placed = ends.join(distinct, "fp")
     least = placed.groupBy("root").agg(F.min("least").alias("class_least"))
-    linked = placed.join(least, "root").select("fp", "class_least")
+    linked = placed.join(least, "root").select("fp", "root", "class_least")
     classes = distinct.join(linked, "fp", "left").select(
-        "fp", F.when(F.col("class_least").isNotNull(), F.col("class_least")).otherwise(F.col("least")).alias("component_id"))
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("class_least").isNotNull(), F.col("class_least")).otherwise(F.col("least")).alias("component_id"))
     return fps.join(classes, "fp").select(
-        F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "text_hash")
+        F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "text_hash",
+        hex_digits(F.col("root")).alias("class_root"))
 
 
 def hex_digits(fp: Column) -> Column:

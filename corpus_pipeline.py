@@ -7,7 +7,7 @@ again) and returns the columns of documents; the last returns the packed pieces.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import decontamination, langid, packing, secrets_scan, simhash
@@ -15,10 +15,15 @@ from claimlens.llm.common import read_table, written
 from claimlens.llm.queries import RANKS
 
 
+def _text_hash() -> Column:
+    """The text_hash of the operators, where a null text is an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents that ``rejected`` doesn't name by doc_id and text_hash."""
     named = rejected.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(named["__id"]) & (F.xxhash64(docs["text"]) == named["__hash"])
+    same = docs["doc_id"].eqNullSafe(named["__id"]) & (_text_hash() == named["__hash"])
     return docs.join(named, same, "left_anti")
 
 
@@ -32,15 +37,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps one document of each class, that of the smallest doc_id (of its texts the one with
     the smallest hash; of repeated rows one). Rows without doc_id stay."""
     classes = written(simhash.near_duplicates(docs).filter("doc_id IS NOT NULL"), "classes")
-    first = classes.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("kept"))
-    rejected = classes.join(first, "component_id").filter("doc_id <> component_id OR text_hash <> kept")
+    first = classes.filter("doc_id = component_id").groupBy("class_root").agg(F.min("text_hash").alias("kept"))
+    rejected = classes.join(first, "class_root").filter("doc_id <> component_id OR text_hash <> kept")
     kept = _without(docs, rejected)
     repeated = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if repeated.isEmpty():
         return kept
-    twice = repeated.select(F.col("doc_id").alias("__id"))
-    return kept.join(twice, kept["doc_id"] == twice["__id"], "left_anti").unionByName(
-        kept.join(twice, kept["doc_id"] == twice["__id"], "left_semi").dropDuplicates(["doc_id"]))
+    twice = written(repeated.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated")
+    same = (kept["doc_id"] == twice["__id"]) & (_text_hash() == twice["__hash"])
+    once = kept.join(twice, same, "left_semi").withColumn("__hash", _text_hash()).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return kept.join(twice, same, "left_anti").unionByName(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

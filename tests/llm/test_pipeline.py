@@ -115,3 +115,12 @@ def test_language_stage_keeps_texts_of_several_languages(spark):
     row = docs.limit(1).withColumn("doc_id", P.F.lit(-1).cast("long")).withColumn("text", P.F.lit(mixed)).withColumn("lang", P.F.lit(None).cast("string"))
     stage = dict(P.STAGES)["language_id"]
     assert stage(spark, docs.unionByName(row), SF).filter("doc_id = -1").count() == 1
+
+
+def test_dedup_stage_with_one_id_in_two_classes(spark):
+    one, other = "the first text of its own class with some words. " * 6, "quite another passage about nothing at all here. " * 6
+    data = [(1, one), (2, one), (1, other), (3, other), (1, other), (4, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(i, t, None, None, None, 1, "y") for i, t in data], COLUMNS)
+    stage = dict(P.STAGES)["simhash_near_dedup"]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, df, SF).collect()), key=str)
+    assert got == sorted([(1, one), (1, other), (4, None)], key=str)
