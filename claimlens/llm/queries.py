@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, langid, lm, packing, resampling, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm import ann, decontamination, divergence, langid, lm, packing, resampling, secrets_scan, sharding, simhash, toxicity
 from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -80,6 +80,10 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_BYTES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), top=200)
+
+
 #: The vocabulary of byte_bpe_50k.json as ranks; the library that reads it is several times faster.
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -97,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_source_divergence": op11_source_divergence,
 }
