@@ -94,5 +94,21 @@ ranked AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE: dict[str, str] = {"op11_source_divergence": OP11, "op1_benchmark_decontamination": OP1, "op5_nearest_neighbours": OP5,
+#: The given pages have one article element each, of headings and paragraphs without other parts in it.
+OP13 = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts
+  FROM pages),
+decoded AS (
+  SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(replace(
+           regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'),
+           '\s+', ' ', 'g')) FOR x IN parts] AS parts
+  FROM article),
+blocks AS (SELECT page_id, url, [x FOR x IN parts IF x <> ''] AS parts FROM decoded)
+SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text,
+       length(coalesce(array_to_string(parts, chr(10) || chr(10)), ''))::BIGINT AS n_chars, len(parts)::BIGINT AS n_blocks
+FROM blocks
+"""
+
+ORACLE: dict[str, str] = {"op13_html_extraction": OP13, "op11_source_divergence": OP11, "op1_benchmark_decontamination": OP1, "op5_nearest_neighbours": OP5,
                           "op10_extendible_sharding": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ann, decontamination, divergence, langid, lm, packing, resampling, secrets_scan, sharding, simhash, toxicity
+from claimlens.llm import ann, decontamination, divergence, extraction, langid, lm, packing, resampling, secrets_scan, sharding, simhash, toxicity, variants
 from claimlens.llm.common import held_out, read_table
 
 #: Byte limit of a shard in op10: small files for a random-access training loader.
@@ -84,6 +84,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"), top=200)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.count_words(read_table(spark, sf_dir, "documents")))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
 #: The vocabulary of byte_bpe_50k.json as ranks; the library that reads it is several times faster.
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -102,4 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_extendible_sharding": op10_extendible_sharding,
     "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_extraction": op13_html_extraction,
 }
