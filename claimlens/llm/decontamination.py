@@ -12,12 +12,12 @@ together, occurrences are located through sampled suffix positions, and their
 word ranges are merged into removal spans.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text; its
-size is measured first. More than one block means one more pass each, whose spans
-are united by document.
+size is measured first. More than one block means one more pass each, whose hits are written
+before the next block is collected; the spans are united by document.
 
 Defined results: a null text or one without words has no words, and is not
 contaminated; null or empty items and items without id have no windows; equal items (same text, other
-id) all count; repeated documents each give a row; an empty table of documents gives
+id) all count, and an id that occurs more than once counts once, with the windows of all its texts; repeated documents each give a row; an empty table of documents gives
 no rows, an empty benchmark no hits; extra columns are ignored.
 """
 
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimlens.llm.common import ALNUM_WORDS, arrow_map, batches_of, code_points_before, ragged, to_bytes
+from claimlens.llm.common import ALNUM_WORDS, arrow_map, batches_of, code_points_before, ragged, to_bytes, written
 from claimlens.llm.fm_index import FMIndex
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -64,22 +64,22 @@ class Phrases:
     @classmethod
     def of(cls, items: list[tuple[str, str | None]], window: int) -> Phrases:
         words: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            ids = [words.setdefault(w, len(words) + 1) for w in (text or "").encode().translate(ALNUM_WORDS).split()]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                seen.setdefault(tuple(ids[i:i + size]), set()).add(k)
-        rows = np.zeros((len(seen), window), np.int64)
-        for r, phrase in zip(rows, seen):
-            r[window - len(phrase):] = phrase
-        owners = [sorted(s) for s in seen.values()]
-        return cls(
-            words, rows, np.array([len(p) for p in seen], np.int64),
-            np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int64),
-            np.array([k for o in owners for k in o], np.int64),
-            np.array([str(i) for i, _ in items], object),
-        )
+        number = words.setdefault
+        place: dict[str, int] = {}
+        parts, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for item, text in items:
+            own = (text or "").encode().translate(ALNUM_WORDS).split()
+            ids = np.fromiter((number(w, len(words) + 1) for w in own), np.int32, len(own))
+            if size := min(window, len(ids)):
+                rows = np.zeros((len(ids) - size + 1, window), np.int32)
+                rows[:, window - size:] = np.lib.stride_tricks.sliding_window_view(ids, size)
+                parts.append(rows)
+                owners.append(np.full(len(rows), place.setdefault(str(item), len(place))))
+        rows, which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        # Each phrase with each item once, also where items repeat.
+        pairs = np.unique(which.reshape(-1).astype(np.int64) * max(1, len(place)) + np.concatenate(owners))
+        phrase, item_of = np.divmod(pairs, max(1, len(place)))
+        return cls(words, rows, (rows > 0).sum(axis=1), np.searchsorted(phrase, np.arange(len(rows) + 1)), item_of, np.array(list(place), object))
 
 
 def shard_hits(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,14 +155,12 @@ def _spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(s), "end": int(e)} for s, e in edges]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``block_bytes``; only one block at a time is on the driver."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The items (i, t) in blocks of about ``block_bytes``, by a hash."""
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("length(t) > 0 AND i IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t") + F.length("i"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
 def find_contamination(
@@ -174,11 +172,15 @@ def find_contamination(
     points, end exclusive), items with occurring windows (sorted as text), n_hit,
     contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    passes = [
-        arrow_map(docs.select(id_col, text_col),
-            _finder(Phrases.of(block, window), id_col, text_col, shard_bytes), f"`{id_col}` {id_type}, {RESULT_SQL}")
-        for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    ]
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    passes = []
+    for block in blocks:
+        phrases = Phrases.of([(r.i, r.t) for r in block.collect()], window)
+        found = arrow_map(docs.select(id_col, text_col), _finder(phrases, id_col, text_col, shard_bytes), f"`{id_col}` {id_type}, {RESULT_SQL}")
+        if len(blocks) > 1:  # written before the next block comes to the driver: one block is held at a time
+            found = written(found if not passes else found.filter(F.size("items") > 0), "hits")
+        passes.append(found)
+        del phrases
     found = passes[0] if len(passes) == 1 else _united(passes, id_col)
     n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + (w["end"] - w["start"]).cast("long"))
     return found.withColumn("n_hit", n_hit).withColumn(

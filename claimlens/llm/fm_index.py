@@ -102,7 +102,7 @@ class FMIndex:
             live = np.flatnonzero((lengths >= back) & (low < high))
             if not len(live):
                 break
-            symbol = phrases[live, width - back]
+            symbol = phrases[live, width - back].astype(np.int64)
             known = symbol < len(self.first) - 1
             start = self.first[np.where(known, symbol, 0)]
             safe = np.where(known, symbol, 0)

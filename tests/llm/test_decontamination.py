@@ -79,6 +79,31 @@ def test_equals_brute_force(spark, block, shard):
     assert rows == brute(DOCS, [(i, t) for i, t in ITEMS if i is not None], 4)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_repeated_items_count_once_whatever_the_blocks(spark, block):
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"x {t} y {u}"), (2, u), (3, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", t), ("a", t), ("b", t), ("a", u), ("c", u), ("c", u)], "item_id string, text string")
+    got = {r.doc_id: (list(r["items"]), r.n_hit) for r in D.find_contamination(docs, items, window=4, block_bytes=block).collect()}
+    assert got == {1: (["a", "b", "c"], 12), 2: (["a", "c"], 5), 3: ([], 0)}
+    assert len(D.benchmark_blocks(items, "item_id", "text", block)) == (1 if block > 60 else 4)
+
+
+def test_phrases_of_a_large_block_are_cheap():
+    """One whole block: seconds and some hundred MB."""
+    import random
+    import resource
+    import time
+
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50_000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=300))) for k in range(D.BLOCK_BYTES // 2100)]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    phrases = D.Phrases.of(items, 13)
+    assert len(phrases.rows) == sum(288 for _ in items) and len(phrases.item_of) == len(phrases.rows)
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
+
+
 def test_spans_are_code_points(spark):
     docs = spark.createDataFrame([(5, "é ß, b c D e.")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "B C D E")], "item_id long, text string")
