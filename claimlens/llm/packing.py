@@ -9,10 +9,9 @@ the packing:
 
 over all configurations p (multisets of lengths that fit L). Multiplicative
 weights solve it: each length has a price, which falls as the length gets covered;
-a knapsack dynamic program finds the configuration of the highest price; it is
-taken until its scarcest length is covered. Rounding takes each configuration as often as its value and
-the rest of the histogram allow; what is left is solved again while that helps, and
-its last pieces are placed by best fit, longest first.
+a knapsack dynamic program finds the configuration of the highest price, which is
+taken a step, and gives a lower bound of any packing. Rounding takes every configuration as often as its value,
+rounded down; what is left is placed by best fit, longest first.
 
 The plan (configurations and counts) is small; every piece finds its place from
 its rank among the pieces of its length. Ranks come from counts per (length,
@@ -44,8 +43,10 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces of one length and bucket are ranked in one task.
 BUCKET_ROWS = 100_000
-#: Fall of a price as its length gets covered, its growth with the length, and solves before best fit.
-FALL, GROWTH, SOLVES = 0.5, 1.5, 6
+#: With up to FEW lengths: steps, the share of the scarcest length that one covers, and the fall of prices.
+FEW, FEW_STEPS, STEP, RATE = 100, 400, 0.1, 0.3
+#: With more: steps, the fall of a price as its length gets covered, and its growth with the length.
+MANY_STEPS, FALL, GROWTH = 300, 0.5, 1.5
 
 #: Splits a text before the merges, as the vocabulary's own tokenizer does.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,15 +113,24 @@ Configuration = tuple[tuple[int, int], ...]  # (length, how many), longest first
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, room: int) -> Configuration:
     """The multiset of sizes within ``room`` with the largest total price, by dynamic programming."""
     best, last = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    for c in range(1, room + 1):
-        n = int(np.searchsorted(sizes, c, "right"))
-        if n:
-            value = best[c - sizes[:n]] + prices[:n]
-            k = int(value.argmax())
-            if value[k] > best[c - 1]:
-                best[c], last[c] = value[k], sizes[k]
-                continue
-        best[c], last[c] = best[c - 1], 0
+    if int((room // sizes).sum()) < 2 * room:  # few sizes: one after another, each as often as it helps
+        for s, price in zip(sizes.tolist(), prices.tolist()):
+            for _ in range(room // s):
+                value = best[:-s] + price
+                better = value > best[s:] + 1e-12
+                if not better.any():
+                    break
+                best[s:][better], last[s:][better] = value[better], s
+    else:  # many: all at once for each room
+        for c in range(1, room + 1):
+            n = int(np.searchsorted(sizes, c, "right"))
+            if n:
+                value = best[c - sizes[:n]] + prices[:n]
+                k = int(value.argmax())
+                if value[k] > best[c - 1]:
+                    best[c], last[c] = value[k], sizes[k]
+                    continue
+            best[c], last[c] = best[c - 1], 0
     taken: dict[int, int] = {}
     c = room
     while c > 0:
@@ -132,24 +142,94 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, room: int) -> Conf
     return tuple(sorted(taken.items(), reverse=True))
 
 
-def solve(demand: np.ndarray, room: int) -> dict[Configuration, float]:
-    """Values of configurations that cover the demand of each length (index), nearly as few as possible."""
+def size_bound(demand: np.ndarray, room: int) -> float:
+    """Sequences that any packing needs, by size alone: lengths over half the room share none with each other, and
+    those over room - t none with any of at least t."""
+    s = np.arange(room + 1)
+    size = demand * s
+    best = float(size.sum()) / room
+    for t in range(1, room // 2 + 1):
+        mid, small = (s > room / 2) & (s <= room - t), (s >= t) & (s <= room / 2)
+        beside = room * demand[mid].sum() - size[mid].sum()
+        best = max(best, float(demand[s > room / 2].sum()) + max(0.0, float(size[small].sum() - beside) / room))
+    return best
+
+
+def solve(demand: np.ndarray, room: int) -> tuple[dict[Configuration, float], float]:
+    """Values of configurations that cover the demand of each length (index), as few as possible, and a lower
+    bound: the demand at any prices, over the dearest configuration's price, is one.
+
+    Multiplicative weights: prices begin in proportion to the length; the dearest configuration is taken a small
+    step, and prices of its lengths fall by a factor that follows the share of their demand that the step covers.
+    With up to ``FEW`` lengths the values of the found configurations are then made exact (``master``), whose
+    prices find the last configurations that are missing. With more, a step covers a length at once, lengths that are covered
+    leave, and after ``MANY_STEPS`` steps the rest is left uncovered.
+    """
     sizes = np.flatnonzero(demand)
+    few = len(sizes) <= FEW
     need = demand[sizes].astype(np.float64)
     place = {int(s): i for i, s in enumerate(sizes)}
-    covered, found = np.zeros(len(sizes)), {}
-    while True:
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
-            return found
-        # More than in proportion to the length: short lengths are kept to fill the gaps.
-        prices = np.where(open_, (sizes / room) ** GROWTH * np.exp(-FALL * covered), 0.0)
+    prices, covered, found, bound = sizes / room, np.zeros(len(sizes)), {}, size_bound(demand, room)
+
+    def dearest(prices: np.ndarray, open_: np.ndarray) -> tuple[Configuration, np.ndarray, np.ndarray]:
+        nonlocal bound
         chosen = best_configuration(sizes[open_], prices[open_], room)
         at = np.array([place[s] for s, _ in chosen])
         many = np.array([m for _, m in chosen], np.float64)
-        step = float(((1 - covered[at]) * need[at] / many).min())  # until its scarcest length is covered
+        bound = max(bound, float(need[open_] @ prices[open_]) / float(prices[at] @ many))
+        return chosen, at, many
+
+    for _ in range(FEW_STEPS if few else MANY_STEPS):
+        open_ = np.ones(len(sizes), bool) if few else covered < 1 - 1e-9
+        if not open_.any():
+            break
+        # More than in proportion where steps are large: short lengths are kept to fill the gaps.
+        chosen, at, many = dearest(prices if few else (sizes / room) ** GROWTH * np.exp(-FALL * covered), open_)
+        step = STEP * float((need[at] / many).min()) if few else float(((1 - covered[at]) * need[at] / many).min())
         covered[at] += step * many / need[at]
         found[chosen] = found.get(chosen, 0.0) + step
+        prices[at] *= np.exp(-RATE * step * many / need[at])
+        prices /= prices.max()
+    if few:
+        for s in sizes.tolist():
+            found.setdefault(((s, room // s),), 0.0)
+        while True:
+            found, prices = master(list(found), sizes, need)
+            chosen, at, many = dearest(prices, np.ones(len(sizes), bool))
+            if chosen in found or float(prices[at] @ many) <= 1 + 1e-7:
+                break
+            found[chosen] = 0.0
+    return {c: x for c, x in found.items() if x > 0}, bound
+
+
+def master(configs: list[Configuration], sizes: np.ndarray, need: np.ndarray) -> tuple[dict[Configuration, float], np.ndarray]:
+    """The best values of the given configurations, and the prices that prove it: simplex on prices y, which
+    raise need * y while no configuration costs more than 1. At most as many values as lengths are positive."""
+    place = {int(s): i for i, s in enumerate(sizes)}
+    n, m = len(configs), len(sizes)
+    table = np.zeros((n + 1, m + n + 1))
+    for r, config in enumerate(configs):
+        for s, many in config:
+            table[r, place[s]] = many
+        table[r, m + r] = table[r, -1] = 1
+    table[-1, :m] = -need / need.max()
+    basis = np.arange(m, m + n)
+    for _ in range(50 * (m + n)):
+        enter = int(table[-1, :-1].argmin())
+        if table[-1, enter] >= -1e-10:
+            break
+        column = table[:-1, enter]
+        ratio = np.full(n, np.inf)
+        np.divide(table[:-1, -1], column, out=ratio, where=column > 1e-9)
+        leave = int(ratio.argmin())
+        basis[leave] = enter
+        table[leave] /= table[leave, enter]
+        factor = table[:, enter].copy()
+        factor[leave] = 0
+        table -= np.outer(factor, table[leave])
+    prices = np.zeros(m + n)
+    prices[basis] = np.maximum(table[:-1, -1], 0)
+    return dict(zip(configs, np.maximum(table[-1, m:m + n] * need.max(), 0).tolist())), prices[:m]
 
 
 def best_fit(demand: np.ndarray, room: int) -> dict[Configuration, int]:
@@ -190,28 +270,28 @@ def _hold(waiting: dict, rooms: list[int], left: int, held: tuple[int, ...], cou
 
 
 def plan(histogram: np.ndarray, room: int = SEQUENCE) -> dict[Configuration, int]:
-    """How often to use which configuration; the lengths used equal the histogram (index: length)."""
+    """How often to use which configuration; the lengths used equal the histogram (index: length).
+
+    Every configuration of the solution is taken as often as its value, rounded down; best fit places what
+    is left, some pieces for each fractional value. Where best fit alone needs fewer sequences, it is the plan.
+    """
     rest, out = histogram.astype(np.int64).copy(), {}
     if rest[room]:
         out[((room, 1),)] = int(rest[room])
         rest[room] = 0
-    for _ in range(SOLVES):
-        if not rest.any():
-            break
-        before = int(rest.sum())
-        values = solve(rest, room)
-        # Those with the longest lengths first; any that leave room are left to best fit.
-        for config, x in sorted(values.items(), key=lambda v: (-v[0][0][0], -v[1], v[0])):
-            n = min(max(1, int(x)), *(int(rest[s]) // m for s, m in config))
-            if n and sum(s * m for s, m in config) == room:
-                out[config] = out.get(config, 0) + n
-                for s, m in config:
-                    rest[s] -= n * m
-        if before - int(rest.sum()) < before // 50:
-            break
+    if not rest.any():
+        return out
+    alone = best_fit(rest, room)
+    values, _ = solve(rest, room)
+    rounded: dict[Configuration, int] = {}
+    for config, x in sorted(values.items(), key=lambda v: (-v[1], v[0])):
+        if n := min(int(x + 1e-6), *(int(rest[s]) // m for s, m in config)):
+            rounded[config] = n
+            for s, m in config:
+                rest[s] -= n * m
     for config, n in best_fit(rest, room).items():
-        out[config] = out.get(config, 0) + n
-    return out
+        rounded[config] = rounded.get(config, 0) + n
+    return out | (rounded if sum(rounded.values()) <= sum(alone.values()) else alone)
 
 
 class Places:

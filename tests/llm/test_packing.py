@@ -119,3 +119,44 @@ def test_white_space_of_over_a_million_characters(spark, plain, run):
     if run == " ":
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
         check_packing(P.pack(df, RANKS_PATH).collect(), texts, plain, P.SEQUENCE)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_near_the_bound(seed):
+    """At most one sequence for each length more than the lower bound says, also where no configuration fills up."""
+    rng = np.random.default_rng(seed)
+    h = np.zeros(1025, np.int64)
+    lengths = rng.choice(np.arange(40 if seed % 2 else 200, 700), int(rng.integers(3, 60 if seed % 3 else 12)), replace=False)
+    h[lengths] = rng.integers(1, 3000, len(lengths))
+    values, bound = P.solve(h, 1024)
+    used = P.plan(h, 1024)
+    packed = np.zeros(1025, np.int64)
+    for config, n in used.items():
+        assert sum(s * m for s, m in config) <= 1024
+        for s, m in config:
+            packed[s] += n * m
+    assert (packed == h).all()
+    assert sum(values.values()) <= bound * (1 + 1e-6) and len(values) <= len(lengths)
+    assert sum(used.values()) <= np.ceil(bound - 1e-6) + len(lengths)
+
+
+def test_configurations_that_leave_room_are_taken():
+    h = np.zeros(1025, np.int64)
+    h[[300, 350, 400, 520]] = 500
+    values, bound = P.solve(h, 1024)
+    assert sum(P.plan(h, 1024).values()) <= np.ceil(bound - 1e-6) + 4
+    # Less by hundreds than best fit alone.
+    h = np.zeros(1025, np.int64)
+    h[[309, 322, 381, 383, 409, 460]] = [1500, 2100, 900, 2800, 700, 1200]
+    assert sum(P.plan(h, 1024).values()) + 200 <= sum(P.best_fit(h, 1024).values())
+
+
+def test_many_lengths_are_planned_in_seconds():
+    import time
+
+    rng = np.random.default_rng(3)
+    h = np.bincount(np.minimum(rng.lognormal(5.5, 1, 100_000).astype(int) + 1, 1024), minlength=1025)
+    began = time.process_time()
+    used = sum(P.plan(h, 1024).values())
+    assert time.process_time() - began < 15
+    assert used <= np.ceil(P.size_bound(h, 1024)) + 20
