@@ -98,3 +98,43 @@ def test_query_equals_brute_force(spark):
         assert set(line.split(",") if line else []) <= set(spans)
         found += len(want)
     assert found
+
+
+def spans_of(text):
+    return [(s, e) for s, k, e in S.scan_buffer(text.encode()) if k == 3]
+
+
+def random_key(seed, n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    import random
+
+    return "".join(random.Random(seed).choices(letters, k=n))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_spans_reach_the_ends_of_a_key(seed):
+    key = random_key(seed, 40)
+    assert spans_of(f"x {key} y") == [(2, 42)]
+    assert spans_of(f"key={key}") == [(4, 44)]
+
+
+def test_only_overlapping_windows_are_one_span():
+    a, b = random_key(1, 40), random_key(2, 40)
+    first, second = spans_of(a + "a" * 200 + b)
+    assert first[0] == 0 and 40 <= first[1] < 70 and 210 < second[0] <= 240 and second[1] == 280
+
+
+def test_plain_segments_do_not_hide_a_key():
+    key, low = random_key(3, 40), random_key(4, 36, "abcdefghijklmnopqrstuvwxyz0123456789")
+    for before in ("/example/", "/usr/share/placeholder/", "docs/2024-01-02/"):
+        assert spans_of(before + key) == [(len(before), len(before) + 40)]
+    assert spans_of(f"svc/prod/api/{low}") == [(13, 49)]
+    assert spans_of(f"{key}/example") == [(0, 40)]
+    for plain in ("/example/of/a/longer/path/with-many-words/2024", "svc/prod/api/v2/some-long-name/of-a-thing-1234", "a-very-long-slug-with-12-words-in-it",
+                  f"see example{key[:10]}"):
+        assert spans_of(plain) == []
+
+
+def test_redaction_leaves_nothing_of_a_key(spark):
+    keys = [random_key(s, 40) for s in range(30)]
+    df = spark.createDataFrame([(f"at {k}, then",) for k in keys], "text string")
+    assert {r.text for r in S.redact(df).collect()} == {"at [SECRET], then"}
