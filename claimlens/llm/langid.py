@@ -18,8 +18,8 @@ words: all segments' transfer matrices are multiplied up together, the few
 segments of a text are chained, and every word gets its exact marginals. A text's
 language has the largest sum of marginals; the score is that language's mean.
 
-Training takes at most ``SAMPLE`` documents of each language (smallest hash of the id);
-lexicon counts cover every training document. Tasks get the weights, some
+Training takes at most ``SAMPLE`` documents of each language (smallest hash of the id; of several texts of
+an id the one with the smallest hash) of up to ``SAMPLE_CHARS`` characters; lexicon counts cover every training document. Tasks get the weights, some
 megabytes whatever the input's size. Nothing but the text is read in a prediction.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ from claimlens.llm.tokens import text_slices, word_hashes
 UNDETERMINED = "und"
 FEATURES = 1 << 16
 LEXICON = 1 << 16
-SAMPLE = 500
+#: Documents a language, and characters of one, that the weights are learned from at most.
+SAMPLE, SAMPLE_CHARS = 500, 200_000
 SEGMENT = 32
 #: Training: words in all, words a passage, passages a sequence, gradient steps and their length.
 TRAIN_WORDS, PASSAGE, PASSAGES, STEPS, RATE, DECAY = 200_000, 24, 6, 40, 0.15, 1e-6
@@ -290,11 +292,19 @@ def lexicon_counts(docs: DataFrame, languages: list[str], text_col: str, lang_co
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Tagger:
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).filter("__id IS NOT NULL").distinct()
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))
-    picked = F.broadcast(ids.withColumn("__k", rank).filter(F.col("__k") <= sample).drop("__k"))
-    got = rows.join(picked, (rows[id_col] == picked["__id"]) & (rows[lang_col] == picked["__lang"])).select(
-        "__id", "__lang", F.col(text_col).alias("t")).dropDuplicates(["__id", "__lang"]).orderBy("__lang", "__id").collect()
+    short = rows.filter(F.length(text_col) <= SAMPLE_CHARS)
+    ids = short.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).filter("__id IS NOT NULL").distinct()
+    h = F.xxhash64("__id")
+    # Ids per language and top bits of their hash tell up to which bits ``sample`` ids are found; only
+    # those are ranked, so a language with most of the rows is no task's burden.
+    tops = ids.groupBy("__lang", F.shiftright(h, 48).alias("__top")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__lang").orderBy("__top")) - F.col("n")
+    cuts = tops.withColumn("before", before).filter(F.col("before") < sample).groupBy("__lang").agg(F.max("__top").alias("__cut"))
+    near = ids.join(F.broadcast(cuts), "__lang").filter(F.shiftright(h, 48) <= F.col("__cut"))  # one row a language
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(h, "__id"))
+    picked = F.broadcast(near.withColumn("__k", rank).filter(F.col("__k") <= sample).select("__id", "__lang"))
+    got = short.join(picked, (short[id_col] == picked["__id"]) & (short[lang_col] == picked["__lang"])).groupBy("__id", "__lang").agg(
+        F.min_by(F.col(text_col), F.xxhash64(text_col)).alias("t")).orderBy("__lang", "__id").collect()
     languages = sorted({r["__lang"] for r in got})
     if not languages:
         return Tagger([], np.zeros((LEXICON, 0)), np.zeros((FEATURES, 0)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
@@ -339,12 +349,18 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
         run, f"`{id_col}` {kind}, lang_pred string, score double, n_words long, n_switches long")
 
 
-def keep(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language. No shuffle."""
+def keep(docs: DataFrame, tagger: Tagger, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, with all their columns, whose text has a language; where ``lang_col`` is null, it is
+    that language. No shuffle."""
+    names = np.array([*tagger.languages, None], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, *_ = _judged(tagger, batch, batch.schema.names.index(text_col))
+            if lang_col in batch.schema.names and batch.column(at := batch.schema.names.index(lang_col)).null_count:
+                arrays = list(batch.columns)
+                arrays[at] = pc.coalesce(arrays[at], pa.array(names[best].tolist(), arrays[at].type))
+                batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch.filter(pa.array(best < len(tagger.languages)))
 
     return arrow_map(docs, run, docs.schema)

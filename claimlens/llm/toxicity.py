@@ -14,7 +14,8 @@ of the class is asked for, so a language with few of its documents has its words
 each of the words is in the dictionary: those that training left out are put in front.
 
 Learning takes at most ``SAMPLE`` labelled documents of each class (those with the
-smallest hash of the id); scoring is one pass over all texts without shuffle, and the
+smallest hash of the id) of up to ``SAMPLE_CHARS`` characters; of an id with several texts it takes the one with the
+smallest hash; scoring is one pass over all texts without shuffle, and the
 tasks get only the dictionaries and weights (under 300 kB).
 
 Defined results: null, empty and blank texts get the sample's share of toxic documents; so does
@@ -38,9 +39,10 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.common import ALNUM_WORDS, LOWER_AZ, arrow_map, ragged, to_bytes
 
-SAMPLE = 4_000
+#: Labelled documents of a class, and characters of one, that learning takes at most.
+SAMPLE, SAMPLE_CHARS = 4_000, 200_000
 FOLDS = 3
-WINDOW, STEP = 48, 24
+WINDOW, STEP = 48, 12
 BASE_BYTES, OWN_BYTES = 110_000, 2_048
 LEVEL = 9
 #: A telling word: documents of a class that hold it, how much more frequent there, and how far beyond chance.
@@ -190,7 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     share = marked.agg(F.avg(F.col("__label").cast("double"))).first()[0]
     picked = [marked.filter(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows of two numbers
-    rows = docs.join(chosen, docs[id_col] == chosen["__id"]).select("__id", "__label", F.col(text_col).alias("t")).dropDuplicates(["__id"])
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Of several texts of an id the one with the smallest hash.
+    rows = docs.filter(F.length(t) <= SAMPLE_CHARS).join(chosen, docs[id_col] == chosen["__id"]).groupBy("__id", "__label").agg(
+        F.min_by(t, F.xxhash64(t)).alias("t"))
     got = rows.select("__label", "t", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(FOLDS)).alias("fold")).orderBy("__id").collect()
     return fit([(r.t or "").encode() for r in got], np.array([r["__label"] for r in got], bool), np.array([r.fold for r in got], np.int64), share or 0.0)
 

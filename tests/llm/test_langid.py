@@ -92,3 +92,25 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_training_takes_the_smallest_text_of_a_repeated_id(spark):
+    """Whatever the order of the rows; and no more than the sample of a language that has most rows."""
+    docs = spark.createDataFrame(
+        [(i, f"{w} {w}er {w}en text {k}", lang) for i in range(60) for k, (w, lang) in enumerate([("alpha", "a"), ("beta", "b"), ("gamma", "a")])],
+        "doc_id long, text string, lang string")
+    seen = []
+    for df in (docs.repartition(1), docs.orderBy(F.desc("text")).repartition(7)):
+        taken = {}
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(L, "fit", lambda texts, labels, *rest: taken.update(texts=texts, labels=labels))
+            L.train(df, F.lit(True), sample=10)
+        seen.append((taken["texts"], taken["labels"]))
+    assert seen[0] == seen[1] and seen[0][1] == ["a"] * 10 + ["b"] * 10
+
+
+def test_keep_sets_the_missing_language(spark, tagger):
+    docs = spark.createDataFrame([(1, "x 1", None), (2, "12", None), (3, "x y", "kept"), (4, None, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in L.keep(docs, tagger).collect()}
+    said = {r.doc_id: r.lang_pred for r in L.predict(docs, tagger).collect()}
+    assert got == {1: said[1], 3: "kept"} and said[1] in tagger.languages

@@ -124,3 +124,14 @@ def test_dedup_stage_with_one_id_in_two_classes(spark):
     stage = dict(P.STAGES)["simhash_near_dedup"]
     got = sorted(((r.doc_id, r.text) for r in stage(spark, df, SF).collect()), key=str)
     assert got == sorted([(1, one), (1, other), (4, None)], key=str)
+
+
+def test_language_stage_fills_the_language(spark, stages):
+    """A document without a language leaves the stage with the one that the tagger gives it."""
+    from pyspark.sql import functions as F
+
+    docs = stages[0].withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    before, after = rows(stages[0]), rows(P.language_id(spark, docs, SF))
+    blank = [r for i, r in after.items() if i % 5 == 0]
+    assert all(r.lang is not None for r in after.values())
+    assert sum(r.lang == before[r.doc_id].lang for r in blank) > 0.95 * len(blank) > 100

@@ -100,3 +100,14 @@ def test_held_out_recall_of_every_language(spark):
         if r.doc_id in toxic:
             hits.setdefault(language[r.doc_id], []).append(r.predicted)
     assert set(hits) == {"en", "de", "fr", "es"} and all(sum(h) >= 0.4 * len(h) for h in hits.values()), hits
+
+
+def test_learning_takes_the_smallest_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(i, f"text {k} of {i}") for i in range(40) for k in range(3)] + [(99, "x" * 200_001)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    seen = []
+    for df in (docs.repartition(1), docs.orderBy(F.desc("text")).repartition(7)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(T, "fit", lambda texts, *rest: seen.append(texts))
+            T.train(df, labels, F.lit(True))
+    assert seen[0] == seen[1] and len(seen[0]) == 40
