@@ -9,7 +9,7 @@ from claimlens.operators.aggregate import (  # noqa: F401
 )
 from claimlens.operators.joins import preagg_left_join  # noqa: F401
 from claimlens.operators.monthly import dual_date_monthly, month_pair_sums, sums_by_month  # noqa: F401
-from claimlens.operators.numbering import number_rows, with_total  # noqa: F401
+from claimlens.operators.numbering import number_rows, range_sizes, row_numbers, with_total  # noqa: F401
 from claimlens.operators.profile import distinct_count, row_count, row_counts, table_profile  # noqa: F401
 from claimlens.operators.quality import (  # noqa: F401
     Rule,
@@ -17,6 +17,7 @@ from claimlens.operators.quality import (  # noqa: F401
     check_fk,
     check_unique,
     duplicate_keys,
+    foreign_key_counts,
     key_violations,
     not_null_rules,
     orphan_counts,

@@ -125,6 +125,36 @@ def orphan_counts(child: DataFrame, column: str, parent: DataFrame, parent_colum
     return values.join(keys, F.col("_value") == F.col("_parent_key"), "left").filter(F.col("_known").isNull()).select("_value", "n")
 
 
+def foreign_key_counts(tables: dict[str, DataFrame], relations: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """(table_name, rule, violations) of every (child, column, parent, parent column): child rows whose non-NULL
+    ``column`` has no parent row.
+
+    All relations meet in one exchange. Each table is read once and tells its rows' values: those of a
+    foreign key as rows of its relation, those of a key as known. Grouped by (parent, value), a value is
+    counted in the task that read it, so a hot value moves one row a task.
+    """
+    names = list(tables)
+    kinds = [f"_r{i}" for i in range(len(relations))]
+    frames = []
+    for t, df in tables.items():
+        told = [(parent, column, i) for i, (child, column, parent, _) in enumerate(relations) if child == t]
+        told += [(t, c, -1) for c in dict.fromkeys(pcol for _, _, parent, pcol in relations if parent == t)]
+        if told:
+            facts = F.array(*[F.struct(
+                F.lit(names.index(parent)).alias("parent"), F.col(c).cast("string").alias("value"), F.lit(i).alias("relation")) for parent, c, i in told])
+            frames.append(df.select(F.explode(facts).alias("_f")).select("_f.*"))
+    facts = frames[0]
+    for f in frames[1:]:
+        facts = facts.unionByName(f)
+    met = facts.filter(F.col("value").isNotNull()).groupBy("parent", "value").agg(
+        F.max(F.col("relation") == -1).alias("_known"), *[F.count_if(F.col("relation") == i).alias(k) for i, k in enumerate(kinds)])
+    broken = met.filter(~F.col("_known")).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds])
+    rows = F.array(*[
+        F.struct(F.lit(child).alias("table_name"), F.lit(f"fk_{column}_{parent}").alias("rule"), F.col(k).alias("violations"))
+        for (child, column, parent, _), k in zip(relations, kinds)])
+    return broken.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Child rows that survive deleting the parents listed in ``deleted``."""
     return child.join(deleted.select(key), key, "left_anti")

@@ -8,6 +8,7 @@ evaluated in a single scan of that table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,9 @@ from claimlens.operators import (
     Rule,
     cascade_delete,
     duplicate_keys,
+    foreign_key_counts,
     key_violations,
     not_null_rules,
-    orphan_counts,
-    orphans,
-    quarantine,
     row_counts,
     violation_report,
 )
@@ -177,19 +176,8 @@ def c_unique(m: ClaimsModel) -> DataFrame:
 
 
 def c_foreign_key(m: ClaimsModel) -> DataFrame:
-    """Rows whose key has no parent. Dimension keys are counted per value first, so the
-    facts aren't moved; a bridge meets its claims row by row, as nearly every
-    claim id is a value of its own."""
-    tables = m.tables()
-    frames = []
-    for child, col, parent, pcol in S.FOREIGN_KEYS:
-        if parent == "claims":
-            broken = orphans(tables[child], col, tables[parent], pcol).agg(F.count(F.lit(1)).alias("violations"))
-        else:
-            broken = orphan_counts(tables[child], col, tables[parent], pcol).agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
-        frames.append(broken.select(F.lit(child).alias("table_name"), F.lit(f"fk_{col}_{parent}").alias("rule"), "violations"))
-    return _union(frames)
+    """Rows whose key has no parent, for all foreign keys in one exchange."""
+    return foreign_key_counts(m.tables(), S.FOREIGN_KEYS)
 
 
 def cascade_delete_claims(m: ClaimsModel, deleted: Column) -> ClaimsModel:
@@ -227,11 +215,12 @@ def c_month_spine_reconcile(m: ClaimsModel) -> DataFrame:
 
 
 def c_quarantine(m: ClaimsModel) -> DataFrame:
-    """Per table the rows that pass every row rule and the rows set aside."""
+    """Per table the rows that pass every row rule and the rows set aside, in one pass over it."""
     frames = []
     for name, df in m.tables().items():
-        good, bad = quarantine(df, all_row_rules(name))
-        frames.append(row_counts({"passed": good, "quarantined": bad}, "outcome").select(
+        broken = functools.reduce(lambda a, r: a | r.violated(), all_row_rules(name), F.lit(False))
+        counted = df.agg(F.count_if(~broken).alias("passed"), F.count_if(broken).alias("quarantined"))
+        frames.append(counted.unpivot([], ["passed", "quarantined"], "outcome", "row_count").select(
             F.lit(name).alias("table_name"), "outcome", "row_count"))
     return _union(frames)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.plans import checks, presentation, reports, views
+from claimlens.plans import checks, loads, presentation, reports, views
 from claimlens.sources import synth
 from claimlens.sources.faulty import over_faults
 from claimlens.sources.model import ClaimsModel
@@ -48,8 +48,11 @@ REPORTS.update({
     "p7_reaggregate_weighted": lambda m: presentation.p7_reaggregate(m, weighted=True),
 })
 REPORTS.update({
-    name: getattr(reports, name) for name in ["t_table_profile", "n_claim_numbers"]
+    name: getattr(reports, name) for name in ["t_table_profile", "n_claim_numbers", "n_claims_by_amount", "n_row_numbers"]
 })
+# Reports that build a set in the shared folder and read it back.
+LOADS = ["l_load_replayed", "l_reloaded_rows", "k_arriving_keys", "v_maintained_views", "c_cascade_written"]
+REPORTS.update({name: getattr(loads, name) for name in LOADS})
 REPORTS.update({
     name: getattr(checks, name)
     for name in [

@@ -8,6 +8,8 @@ key so the order is total).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from claimlens.operators import (
     count_by,
     distinct_count,
     number_rows,
+    row_numbers,
     outcome_rate,
     row_count,
     row_counts,
@@ -96,7 +99,24 @@ def t_table_profile(m: ClaimsModel) -> DataFrame:
 
 def n_claim_numbers(m: ClaimsModel) -> DataFrame:
     """Every claim with its consecutive number by claim id, and the number of claims."""
-    return with_total(number_rows(m.claims.select("claim_id"), "claim_id", "claim_number"), "total_claims")
+    return with_total(number_rows(m.claims.select("claim_id"), "claim_id", name="claim_number"), "total_claims")
+
+
+def n_claims_by_amount(m: ClaimsModel) -> DataFrame:
+    """Claims numbered by decision, amount and reference: NULLs last, many ties in the first keys, a string last."""
+    rows = m.claims.select("claim_id", "decision", "claim_amount_nok", "claim_reference")
+    return number_rows(rows, "decision", F.col("claim_amount_nok").desc(), "claim_reference", name="place").select("claim_id", "place")
+
+
+def n_row_numbers(m: ClaimsModel) -> DataFrame:
+    """Every table's rows numbered in no order: how many numbers there are, and their range."""
+    frames = [
+        row_numbers(df.select(df.columns[0]), "n").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_distinct("n").alias("numbers"), F.min("n").alias("first"), F.max("n").alias("last")
+        ).select(F.lit(t).alias("table_name"), "row_count", "numbers", "first", "last")
+        for t, df in m.tables().items()
+    ]
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def i00b_distinct_counts(m: ClaimsModel) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. ANSI mode keeps overflow and division by zero
 # loud; AQE coalesces small shuffles, splits skewed join partitions and turns
@@ -99,3 +100,13 @@ def shared_dir(spark: SparkSession, create_local: bool = False) -> str:
 
 def shared_path(spark: SparkSession, *parts: str, create_local: bool = False) -> str:
     return os.path.join(shared_dir(spark, create_local=create_local), *parts)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once under the shared folder and read back: later stages and retries
+    read the same files, whatever happens to executors. Files stay until the folder is emptied."""
+    spark = df.sparkSession
+    local = spark.sparkContext.master.partition("[")[0] == "local"
+    path = shared_path(spark, f"{what}-{uuid.uuid4().hex}", create_local=local)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -91,13 +91,12 @@ def _with_faults(df: DataFrame, table: str) -> DataFrame:
         for remainder, bad in faults.values.get(field.name, []):
             value = F.when(at == remainder, F.expr(f"CAST({bad} AS {field.dataType.simpleString()})")).otherwise(value)
         columns.append(value.alias(field.name))
-    keys = S.PRIMARY_KEYS[table]
-    keyless = [F.lit(None).cast(f.dataType).alias(f.name) if f.name == keys[0] else F.col(f.name) for f in S.SCHEMAS[table].fields]
-    return (
-        df.select(*columns)
-        .unionAll(df.filter(at == faults.twice).select(*[f.name for f in S.SCHEMAS[table].fields]))
-        .unionAll(df.filter(at == faults.without_key).select(*keyless))
-    )
+    # One scan: a row's copies are made beside it (0: itself, 1: again, 2: again without its key).
+    copies = F.when(at == faults.twice, F.array(F.lit(0), F.lit(1))).when(at == faults.without_key, F.array(F.lit(0), F.lit(2))).otherwise(
+        F.array(F.lit(0)))
+    key = S.PRIMARY_KEYS[table][0]
+    return df.select(*columns, F.explode(copies).alias("_copy")).select(
+        *[F.when(F.col("_copy") != 2, F.col(f.name)).alias(f.name) if f.name == key else F.col(f.name) for f in S.SCHEMAS[table].fields])
 
 
 def faulty_model(m: ClaimsModel) -> ClaimsModel:

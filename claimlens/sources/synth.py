@@ -274,7 +274,7 @@ def sample_per_claim(
     """
     from claimlens.operators.numbering import number_rows
 
-    active = number_rows(dim.filter(F.col("active")).select(dim_key), dim_key, "_place")
+    active = number_rows(dim.filter(F.col("active")).select(dim_key), dim_key, name="_place")
     n_active = dim.select(F.count_if(F.col("active"))).scalar()
     n = F.col("_n")
     base = claims_df.select(

@@ -28,8 +28,8 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that op6 calls undetermined, those without a letter; texts in several
-    languages stay. The tagger learns from the documents themselves."""
+    """Drops documents that op6 calls undetermined, those without a letter, and sets the language of those that
+    have none; texts in several languages stay. The tagger learns from the documents themselves."""
     return langid.keep(docs, langid.train(docs, F.lit(True)))
 
 
