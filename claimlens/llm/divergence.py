@@ -48,7 +48,9 @@ FLEET_BYTES = 96 << 20
 BLOCK = 4096
 
 #: Terms, (group, ordinal) pairs and sums of pairs a task holds before it hands them on.
-HELD_TERMS, HELD_COUNTS, HELD_PAIRS = 300_000, 1_000_000, 1_000_000
+HELD_TERMS, HELD_COUNTS, HELD_PAIRS = 150_000, 500_000, 1_000_000
+#: Texts that walk through the transducers together.
+SLICE_BYTES = 1 << 20
 
 #: Lower-cases A-Z; every other ASCII byte becomes a space.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -63,10 +65,10 @@ def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(seen: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.binary()), pa.array(seen.values(), pa.int64())],
-            ["lang", "term", "n"])
+    def rows(counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["lang", "term", "n"])
 
     counts: dict[str, dict[bytes, int]] = {}
     held = 0
@@ -80,9 +82,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     own[w] = get(w, 0) + 1
                 held += len(own) - before
             if held > HELD_TERMS:
-                yield rows({(lang, w): n for lang, own in counts.items() for w, n in own.items()})
+                yield from rows(counts)
                 counts, held = {}, 0
-    yield rows({(lang, w): n for lang, own in counts.items() for w, n in own.items()})
+    yield from rows(counts)
 
 
 def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -181,7 +183,7 @@ def recount(docs: DataFrame, made: DataFrame, fleet_bytes: int = FLEET_BYTES) ->
             counter = _Counter()
             for batch in batches:
                 rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-                for first, texts in text_slices(batch, 0):
+                for first, texts in text_slices(batch, 0, SLICE_BYTES):
                     own = rows[first:first + len(texts)]
                     data, starts, ends, owner = terms_of(texts)
                     number = counter.groups.setdefault
