@@ -76,12 +76,15 @@ def cluster_conf(
     }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, create_local: bool = False) -> str:
     """The cluster-wide folder for checkpoints and materialised tables.
 
     Read from ``spark.checkpoint.dir``. Only when it is unset *and*
     ``create_local`` is true (tests, local runs) is a fresh temporary folder
-    chosen and written back into the session, so a cluster run never silently
+    chosen, one for the application, so a cluster run never silently
     falls back to a machine-local path.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
@@ -92,8 +95,11 @@ def shared_dir(spark: SparkSession, create_local: bool = False) -> str:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; configure a shared folder for the cluster"
             )
-        current = tempfile.mkdtemp(prefix="claimlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        # Kept here: the setting can't be changed in a running session.
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="claimlens-ckpt-")
+        current = _LOCAL_DIRS[app]
     spark.sparkContext.setCheckpointDir(current)
     return current
 

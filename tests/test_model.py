@@ -102,3 +102,31 @@ def test_shared_dir_never_falls_back_silently():
 
     with _pytest.raises(RuntimeError, match="spark.checkpoint.dir is not set"):
         shared_dir(_Session())
+
+
+def test_local_runs_share_one_folder_without_the_setting():
+    """The setting can't be changed in a running session, so the chosen folder is kept beside it."""
+    from claimlens.session import shared_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Context:
+        def __init__(self, app):
+            self.applicationId = app
+
+        def getConf(self):
+            return _Conf()
+
+        def setCheckpointDir(self, path):
+            self.path = path
+
+    class _Session:
+        conf = _Conf()
+
+        def __init__(self, app):
+            self.sparkContext = _Context(app)
+
+    first, again, other = (shared_dir(_Session(a), create_local=True) for a in ("one", "one", "two"))
+    assert first == again != other
