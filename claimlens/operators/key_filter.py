@@ -2,9 +2,12 @@
 
 An arriving batch is checked against history without moving history: the batch's keys meet the
 filter of their bucket, and only keys that the filter can't rule out (real clashes and about one in
-a hundred others) are looked up exactly. A filter is a row (bucket, words): its bits as an array of
-64-bit words, made by ``bit_or`` over the keys' positions, so it is built and read by
-built-in functions alone.
+a hundred others) are looked up exactly. A filter is an array of 64-bit words. A key sets its bits in
+one word, so a filter is built from one row a key, by ``bit_or``, and read at one place.
+
+A large filter is stored in slices of ``SLICE_WORDS`` words, rows (bucket, slice, slices, words): the
+more keys, the more slices, so that no task holds more than a few of them whatever the buckets, and
+keys meet their slice in a join on (bucket, slice).
 """
 
 from __future__ import annotations
@@ -17,9 +20,12 @@ from pyspark.sql import functions as F
 
 from claimlens.session import stored
 
-#: With six bits set a key, one key in about 120 is suspected wrongly.
+#: With five bits set a key, about one key in a hundred is suspected wrongly.
 BITS_PER_KEY = 10
-_HASHES = 3
+_BITS_SET = 5
+
+#: Words of a slice (32 KB, some 20,000 keys).
+SLICE_WORDS = 4096
 
 #: Keys that travel to every task at most (some 24 bytes each); more meet history in a shuffled join.
 BROADCAST_KEYS = 1_000_000
@@ -29,10 +35,16 @@ def key_bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _positions(keys: Sequence[str]) -> list[Column]:
-    """Two 32-bit positions from each of three hashes of the key."""
-    hashes = [F.xxhash64(F.lit(seed), *keys) for seed in range(1, _HASHES + 1)]
-    return [p for h in hashes for p in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+def _place(keys: Sequence[str]) -> tuple[Column, Column]:
+    """Where a key's word is (from the low bits the word, from the high ones the slice), and its bits."""
+    at, h = F.xxhash64(F.lit(1), *keys), F.xxhash64(F.lit(2), *keys)
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(_BITS_SET)]
+    return at, reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _slice_of(at: Column, slices: Column) -> Column:
+    return F.shiftrightunsigned(at, 32).bitwiseAND(slices.cast("long") - 1)
 
 
 def filter_words(most: int) -> int:
@@ -41,34 +53,38 @@ def filter_words(most: int) -> int:
 
 
 def build_filters(rows: DataFrame, keys: Sequence[str], bucket: str, buckets: int, words: int) -> DataFrame:
-    """(bucket, words): the filter of every bucket, with ``words`` 64-bit words. ``rows`` has no NULL keys."""
-    at = F.explode(F.array(*[p.bitwiseAND(F.lit(64 * words - 1)) for p in _positions(keys)]))
-    set_bits = rows.select(F.col(bucket).cast("long").alias("bucket"), at.alias("p")).select(
-        "bucket", F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bits"))
+    """(bucket, slice, slices, words): the filter of every bucket, with ``words`` 64-bit words in all its slices.
+    ``rows`` has no NULL keys."""
+    slices = max(1, words // SLICE_WORDS)
+    each = words // slices
+    at, bits = _place(keys)
+    set_bits = rows.select(
+        (F.col(bucket).cast("long") * slices + _slice_of(at, F.lit(slices))).alias("filter"),
+        at.bitwiseAND(F.lit(each - 1)).cast("int").alias("word"), bits.alias("bits"))
     blank = rows.sparkSession.range(buckets * words).select(
-        F.floor(F.col("id") / words).cast("long").alias("bucket"), (F.col("id") % words).alias("word"), F.lit(0).cast("long").alias("bits"))
-    whole = set_bits.unionByName(blank).groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
-    listed = whole.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
-    return listed.select(F.col("bucket").cast("int").alias("bucket"), F.col("all.bits").alias("words"))
+        F.floor(F.col("id") / each).cast("long").alias("filter"), (F.col("id") % each).cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    # Dealt by filter once: its words are made and listed where they lie.
+    whole = set_bits.unionByName(blank).repartition("filter").groupBy("filter", "word").agg(F.bit_or("bits").alias("bits"))
+    listed = whole.groupBy("filter").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    return listed.select(
+        F.floor(F.col("filter") / slices).cast("int").alias("bucket"), (F.col("filter") % slices).cast("int").alias("slice"),
+        F.lit(slices).alias("slices"), F.col("all.bits").alias("words"))
 
 
 def suspected(rows: DataFrame, keys: Sequence[str], bucket: str, filters: DataFrame) -> DataFrame:
-    """The rows whose key some filter of their bucket can't rule out. ``filters`` may hold several of
-    a bucket, of different sizes."""
-    held = filters.groupBy(F.col("bucket").alias("__of")).agg(F.collect_list("words").alias("__filters"))
-    places = [f"__p{i}" for i in range(2 * _HASHES)]
-
-    def hit(words: Column) -> Column:
-        def one(p: str) -> Column:
-            at = F.col(p).bitwiseAND(F.size(words).cast("long") * 64 - 1)
-            word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
-            return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0
-
-        return reduce(lambda a, b: a & b, map(one, places))
-
-    placed = rows.select("*", *[p.alias(n) for p, n in zip(_positions(keys), places)])
-    met = placed.join(held, F.col(bucket) == F.col("__of"))
-    return met.filter(F.exists("__filters", hit)).select(*rows.columns)
+    """The distinct rows whose key some filter of their bucket can't rule out. ``filters`` may hold several
+    of a bucket, of different sizes."""
+    at, bits = _place(keys)
+    sizes = filters.select(F.col("slices").alias("__slices")).distinct()  # powers of two, so a few at most
+    placed = rows.withColumns({"__at": at, "__bits": bits}).crossJoin(F.broadcast(sizes)).withColumn(
+        "__slice", _slice_of(F.col("__at"), F.col("__slices")))
+    held = filters.select(F.col("bucket").alias("__of"), F.col("slices").alias("__in"), F.col("slice").cast("long").alias("__part"), "words")
+    # The bits are tried in the join, so no row carries a filter with it.
+    word = F.element_at("words", (F.col("__at").bitwiseAND(F.size("words").cast("long") - 1) + 1).cast("int"))
+    met = placed.join(
+        held, (F.col(bucket) == F.col("__of")) & (F.col("__slices") == F.col("__in")) & (F.col("__slice") == F.col("__part"))
+        & (word.bitwiseAND(F.col("__bits")) == F.col("__bits")), "left_semi")
+    return met.select(*rows.columns).distinct()
 
 
 def known_keys(suspects: DataFrame, keys: Sequence[str], history: DataFrame) -> DataFrame:

@@ -86,10 +86,12 @@ def k_arriving_keys(m: ClaimsModel, buckets: int = 8) -> DataFrame:
     """Key clashes of an arriving batch, in itself and with history, which is only read through its stored key
     filters and for suspected keys. A tenth of the rows arrives, some twice, with a tenth that history has."""
     m = _at_rest(m, sorted({table for table, *_ in ARRIVING}))
-    frames = []
+    frames, histories = [], {}
     for table, keys, dealt in ARRIVING:
         rows = m.tables()[table]
-        history = stored(rows.filter(c(dealt) % 10 != 3), f"history-{table}")
+        if table not in histories:
+            histories[table] = stored(rows.filter(c(dealt) % 10 != 3), f"history-{table}")
+        history = histories[table]
         batch = rows.filter((c(dealt) % 10).isin(3, 4)).unionByName(rows.filter(c(dealt) % 30 == 3))
         placed = history.dropna(subset=keys).withColumn("__bucket", key_bucket(keys, buckets))
         most = placed.groupBy("__bucket").count().agg(F.max("count")).first()[0] or 1

@@ -168,7 +168,7 @@ class LoadSet:
         for e in state:
             if e["table"] == table:
                 live.setdefault(e["part"], []).append(e["bucket"])
-        frames = [self.spark.read.schema("bucket int, words array<long>").parquet(self._folder("data", p, f"{table}.keys")).filter(
+        frames = [self.spark.read.schema("bucket int, slice int, slices int, words array<long>").parquet(self._folder("data", p, f"{table}.keys")).filter(
             F.col("bucket").isin(b)) for p, b in live.items()]
         out = None
         for f in frames:

@@ -7,7 +7,7 @@ from conftest import D, claim, make_model, provider
 from pyspark.sql import functions as F
 
 from claimlens import schemas as S
-from claimlens.operators.key_filter import BITS_PER_KEY, arriving_clashes, build_filters, filter_words, key_bucket, suspected
+from claimlens.operators.key_filter import BITS_PER_KEY, SLICE_WORDS, arriving_clashes, build_filters, filter_words, key_bucket, suspected
 from claimlens.plans import views
 from claimlens.sources.load_set import LoadSet
 
@@ -153,6 +153,22 @@ def test_filters_rule_out_nearly_all_other_keys(spark):
     assert rate < 0.02
 
 
+def test_large_filters_lie_in_slices(spark):
+    """However many keys a bucket has, no row of its filter is larger than a slice, and no joined row carries one."""
+    def placed(a, b):
+        return spark.range(a, b).select(F.col("id").alias("k"), F.lit(0).alias("bucket"))
+
+    large = build_filters(placed(0, 60_000), ["k"], "bucket", 1, 4 * SLICE_WORDS)
+    small = build_filters(placed(60_000, 61_000), ["k"], "bucket", 1, filter_words(1_000))
+    assert [(r["slice"], r["n"]) for r in large.selectExpr("slice", "size(words) AS n").orderBy("slice").collect()] == [(i, SLICE_WORDS) for i in range(4)]
+    filters = large.unionByName(small).cache()
+    assert suspected(placed(0, 61_000), ["k"], "bucket", filters).count() == 61_000
+    found = suspected(placed(61_000, 161_000), ["k"], "bucket", filters)
+    assert found.count() < 4_000 and found.columns == ["k", "bucket"]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "LeftSemi" in plan and "exists(" not in plan
+
+
 def test_arriving_clashes_leave_history_where_it_is(spark, tmp_path):
     history = spark.range(5_000).selectExpr("id AS k", "id % 3 AS v")
     history.write.parquet(str(tmp_path / "h"))
