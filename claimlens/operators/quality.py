@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAILED = "failed_rules"
 
@@ -131,9 +132,12 @@ def foreign_key_counts(tables: dict[str, DataFrame], relations: Sequence[tuple[s
 
     All relations meet in one exchange. Each table is read once and tells its rows' values: those of a
     foreign key as rows of its relation, those of a key as known. Grouped by (parent, value), a value is
-    counted in the task that read it, so a hot value moves one row a task.
+    counted in the task that read it, so a hot value moves one row a task. Values are compared as they
+    are, as text only where their types differ.
     """
     names = list(tables)
+    types = {tables[t].schema[c].dataType for child, column, parent, pcol in relations for t, c in ((child, column), (parent, pcol))}
+    alike = types.pop() if len(types) == 1 else T.StringType()
     kinds = [f"_r{i}" for i in range(len(relations))]
     frames = []
     for t, df in tables.items():
@@ -141,7 +145,7 @@ def foreign_key_counts(tables: dict[str, DataFrame], relations: Sequence[tuple[s
         told += [(t, c, -1) for c in dict.fromkeys(pcol for _, _, parent, pcol in relations if parent == t)]
         if told:
             facts = F.array(*[F.struct(
-                F.lit(names.index(parent)).alias("parent"), F.col(c).cast("string").alias("value"), F.lit(i).alias("relation")) for parent, c, i in told])
+                F.lit(names.index(parent)).alias("parent"), F.col(c).cast(alike).alias("value"), F.lit(i).alias("relation")) for parent, c, i in told])
             frames.append(df.select(F.explode(facts).alias("_f")).select("_f.*"))
     facts = frames[0]
     for f in frames[1:]:

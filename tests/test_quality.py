@@ -6,7 +6,7 @@ import pytest
 from conftest import D, claim, make_model, provider
 from pyspark.sql import functions as F
 
-from claimlens.operators import quarantine, write_quarantined
+from claimlens.operators import foreign_key_counts, quarantine, write_quarantined
 from claimlens.plans import checks
 
 GOOD = dict(cid=1, received=D(2024, 1, 2), status="Closed", decision="Approved",
@@ -154,3 +154,15 @@ def test_enforced_write_keeps_rule_breakers_out(spark, tmp_path):
     rejected = {r.claim_id: r.failed_rules for r in ClaimsModel.read_quarantine(spark, path, "claims").collect()}
     assert rejected == {2: ["range_patient_age"], 3: ["closed_iff_decision"]}
     assert [f.name for f in back.claims.schema] == [f.name for f in m.claims.schema]
+
+
+def test_foreign_keys_of_one_type_are_not_made_text(spark):
+    """Values of one type stay as they are; where types differ, they meet as text."""
+    parent = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    child = spark.createDataFrame([(1, "2"), (3, "3"), (3, None), (None, "1")], "a long, b string")
+    tables = {"p": parent, "c": child}
+    same = foreign_key_counts(tables, [("c", "a", "p", "id")])
+    assert [tuple(r) for r in same.collect()] == [("c", "fk_a_p", 2)]
+    assert "string" not in same._jdf.queryExecution().analyzed().toString().lower().split("aggregate [parent")[1]
+    mixed = foreign_key_counts(tables, [("c", "a", "p", "id"), ("c", "b", "p", "id")])
+    assert [tuple(r) for r in mixed.collect()] == [("c", "fk_a_p", 2), ("c", "fk_b_p", 1)]
