@@ -49,6 +49,9 @@ CODE_SYSTEM_BY_PART_TYPE = {
     "ICPC2": ["MEDIUM"],
 }
 N_INJURY_TYPES = 16
+#: Lines that a task makes distinct pairs of; fewer than PLAIN_LINES in all are left to the planner.
+LINES_PER_TASK = 500_000
+PLAIN_LINES = 16 * LINES_PER_TASK
 # ---------------------------------------------------------------------------
 
 
@@ -164,10 +167,19 @@ def _first_of_claim(pairs: DataFrame, item: str) -> DataFrame:
     )
 
 
-def claim_medical_codes(lineitem: DataFrame) -> DataFrame:
-    pairs = lineitem.select(
+def _distinct_pairs(pairs: DataFrame, n_lines: int) -> DataFrame:
+    """The distinct rows. Of many lines (``n_lines``, 0 if not known) each task gets about ``LINES_PER_TASK``:
+    the planner goes by compressed bytes, of which ids have few, and a line is rarely like another, so
+    a task would keep many millions of them."""
+    if n_lines > PLAIN_LINES:
+        pairs = pairs.repartition(-(-n_lines // LINES_PER_TASK), *pairs.columns)
+    return pairs.distinct()
+
+
+def claim_medical_codes(lineitem: DataFrame, n_lines: int = 0) -> DataFrame:
+    pairs = _distinct_pairs(lineitem.select(
         F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("medical_code_id")
-    ).distinct()
+    ), n_lines)
     return _first_of_claim(pairs, "medical_code_id").select(
         "claim_id",
         "medical_code_id",
@@ -189,11 +201,11 @@ def injury_types(spark: SparkSession) -> DataFrame:
     )
 
 
-def claim_injuries(lineitem: DataFrame) -> DataFrame:
-    pairs = lineitem.select(
+def claim_injuries(lineitem: DataFrame, n_lines: int = 0) -> DataFrame:
+    pairs = _distinct_pairs(lineitem.select(
         F.col("l_orderkey").alias("claim_id"),
         (F.lit(1) + F.col("l_partkey") % N_INJURY_TYPES).alias("injury_type_id"),
-    ).distinct()
+    ), n_lines)
     return _first_of_claim(pairs, "injury_type_id").select(
         "claim_id", "injury_type_id", F.col("is_first").alias("is_primary"), _created_at()
     )
@@ -210,6 +222,11 @@ class DerivedModel(ClaimsModel):
     def _read(self, name: str) -> DataFrame:
         return read_source(self._spark, self._dir, name)
 
+    @cached_property
+    def _n_lines(self) -> int:
+        """Lines in the files' footers."""
+        return self._read("lineitem").count()
+
     @cached_property
     def providers(self) -> DataFrame:
         return providers(self._read("supplier"))
@@ -224,7 +241,7 @@ class DerivedModel(ClaimsModel):
 
     @cached_property
     def claim_medical_codes(self) -> DataFrame:
-        return claim_medical_codes(self._read("lineitem"))
+        return claim_medical_codes(self._read("lineitem"), self._n_lines)
 
     @cached_property
     def injury_types(self) -> DataFrame:
@@ -232,7 +249,7 @@ class DerivedModel(ClaimsModel):
 
     @cached_property
     def claim_injuries(self) -> DataFrame:
-        return claim_injuries(self._read("lineitem"))
+        return claim_injuries(self._read("lineitem"), self._n_lines)
 
     @cached_property
     def region_source(self) -> tuple[DataFrame, DataFrame]:

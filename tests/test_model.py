@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import schemas as S
+from claimlens.sources import tpch
 
 # Sizes at sf0.001 (orders 1,500; supplier 10; part 200).
 EXPECTED = {
@@ -130,3 +131,17 @@ def test_local_runs_share_one_folder_without_the_setting():
 
     first, again, other = (shared_dir(_Session(a), create_local=True) for a in ("one", "one", "two"))
     assert first == again != other
+
+
+def test_many_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """Each task gets about LINES_PER_TASK lines, whatever their bytes; the pairs are the same."""
+    rows = [(i % 40, i % 7) for i in range(300)] + [(None, 1), (None, 1), (3, None), (None, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long")
+    for make in (tpch.claim_medical_codes, tpch.claim_injuries):
+        plain = make(lines)
+        monkeypatch.setattr(tpch, "LINES_PER_TASK", 10)
+        monkeypatch.setattr(tpch, "PLAIN_LINES", 100)
+        dealt = make(lines, len(rows))
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+        plan = dealt.select("claim_id")._jdf.queryExecution().executedPlan().toString()
+        assert ", 31), REPARTITION_BY_NUM" in plan
