@@ -65,7 +65,7 @@ def build_filters(rows: DataFrame, keys: Sequence[str], bucket: str, buckets: in
         F.floor(F.col("id") / each).cast("long").alias("filter"), (F.col("id") % each).cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
     # Dealt by filter once: its words are made and listed where they lie.
     whole = set_bits.unionByName(blank).repartition("filter").groupBy("filter", "word").agg(F.bit_or("bits").alias("bits"))
-    listed = whole.groupBy("filter").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    listed = whole.groupBy("filter").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
     return listed.select(
         F.floor(F.col("filter") / slices).cast("int").alias("bucket"), (F.col("filter") % slices).cast("int").alias("slice"),
         F.lit(slices).alias("slices"), F.col("all.bits").alias("words"))

@@ -54,7 +54,7 @@ def l_load_replayed(m: ClaimsModel) -> DataFrame:
     rows = [
         df.agg(F.count(F.lit(1)).alias("arrived")).select(
             F.lit("stored").alias("batch_id"), F.lit(t).alias("table_name"), "arrived",
-            df.select(F.count_distinct(F.struct(*S.PRIMARY_KEYS[t]))).scalar().alias("inserted"),
+            df.select(*S.PRIMARY_KEYS[t]).distinct().select(F.count(F.lit(1))).scalar().alias("inserted"),
             *[F.lit(0).cast("long").alias(n) for n in ("repeated", "clashed", "rejected")])
         for t, df in model.tables().items() if t in ("claims", *BRIDGES)
     ]

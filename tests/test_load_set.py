@@ -195,3 +195,10 @@ def test_empty_sets_and_batches(spark, store, small_model):
     assert store.read().claims.count() == 0
     store.insert("some", {"claims": small_model.claims})
     assert rows(store.read().claims) == rows(small_model.claims)
+
+
+def test_filter_words_are_sorted_without_a_function(spark):
+    """``array_sort`` calls a comparing function for every two words of a slice; ``sort_array`` doesn't."""
+    filters = build_filters(spark.range(100).withColumn("bucket", F.lit(0)), ["id"], "bucket", 1, 16)
+    assert "lambda" not in filters._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(r["words"]) for r in filters.collect()] == [16]
