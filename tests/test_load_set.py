@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.operators.key_filter import BITS_PER_KEY, SLICE_WORDS, arriving_clashes, build_filters, filter_words, key_bucket, suspected
-from claimlens.plans import views
+from claimlens.plans import loads, views
 from claimlens.sources.load_set import LoadSet
 
 
@@ -202,3 +202,14 @@ def test_filter_words_are_sorted_without_a_function(spark):
     filters = build_filters(spark.range(100).withColumn("bucket", F.lit(0)), ["id"], "bucket", 1, 16)
     assert "lambda" not in filters._jdf.queryExecution().optimizedPlan().toString()
     assert [len(r["words"]) for r in filters.collect()] == [16]
+
+
+def test_cascade_stores_only_the_claims_beside_its_set(spark, small_model, monkeypatch):
+    """The bridges are read once, so they go straight into the set."""
+    written = []
+    monkeypatch.setattr(loads, "stored", lambda df, what: written.append(what) or df)
+    left = {r[0]: r[1] for r in loads.c_cascade_written(small_model).collect()}
+    gone = small_model.claims.filter("decision = 'Rejected'").select("claim_id")
+    assert written == ["rest-claims"]
+    for t in ("claims", "claim_medical_codes", "claim_injuries"):
+        assert left[t] == small_model.tables()[t].join(gone, "claim_id", "left_anti").count()
