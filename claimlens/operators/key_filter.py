@@ -26,6 +26,10 @@ _BITS_SET = 5
 
 #: Words of a slice (32 KB, some 20,000 keys).
 SLICE_WORDS = 4096
+_WORD_BITS = SLICE_WORDS.bit_length() - 1
+
+#: Slices that a task makes at most, about (some 650,000 keys): few enough for their words to be listed by hash.
+SLICES_PER_TASK = 32
 
 #: Keys that travel to every task at most (some 24 bytes each); more meet history in a shuffled join.
 BROADCAST_KEYS = 1_000_000
@@ -35,12 +39,15 @@ def key_bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _place(keys: Sequence[str]) -> tuple[Column, Column]:
-    """Where a key's word is (from the low bits the word, from the high ones the slice), and its bits."""
-    at, h = F.xxhash64(F.lit(1), *keys), F.xxhash64(F.lit(2), *keys)
+def _hashes(keys: Sequence[str]) -> tuple[Column, Column]:
+    """Where a key's word is (from the low bits the word, from the high ones the slice), and what its bits are made of."""
+    return F.xxhash64(F.lit(1), *keys), F.xxhash64(F.lit(2), *keys).bitwiseAND(F.lit((1 << 6 * _BITS_SET) - 1))
+
+
+def _bits(h: Column) -> Column:
     one = F.lit(1).cast("long")
     bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(_BITS_SET)]
-    return at, reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def _slice_of(at: Column, slices: Column) -> Column:
@@ -57,15 +64,24 @@ def build_filters(rows: DataFrame, keys: Sequence[str], bucket: str, buckets: in
     ``rows`` has no NULL keys."""
     slices = max(1, words // SLICE_WORDS)
     each = words // slices
-    at, bits = _place(keys)
-    set_bits = rows.select(
+    at, h = _hashes(keys)
+    # A key travels as its filter and one number: what its bits are made of, and its word. They are made where it arrives.
+    marks = rows.select(
         (F.col(bucket).cast("long") * slices + _slice_of(at, F.lit(slices))).alias("filter"),
-        at.bitwiseAND(F.lit(each - 1)).cast("int").alias("word"), bits.alias("bits"))
-    blank = rows.sparkSession.range(buckets * words).select(
-        F.floor(F.col("id") / each).cast("long").alias("filter"), (F.col("id") % each).cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
-    # Dealt by filter once: its words are made and listed where they lie.
-    whole = set_bits.unionByName(blank).repartition("filter").groupBy("filter", "word").agg(F.bit_or("bits").alias("bits"))
-    listed = whole.groupBy("filter").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+        F.shiftleft(h, _WORD_BITS).bitwiseOR(at.bitwiseAND(F.lit(each - 1))).alias("mark"))
+    # A row of every filter, so that none is missing.
+    marks = marks.unionByName(rows.sparkSession.range(buckets * slices).select(F.col("id").alias("filter"), F.lit(None).cast("long").alias("mark")))
+    # Dealt by filter once, by the number of filters: its words are made and listed where they lie.
+    dealt = marks.repartition(-(-buckets * slices // SLICES_PER_TASK), "filter")
+    set_bits = dealt.select(
+        "filter", F.coalesce(F.col("mark").bitwiseAND(F.lit(SLICE_WORDS - 1)), F.lit(0)).cast("int").alias("word"),
+        F.coalesce(_bits(F.shiftrightunsigned("mark", _WORD_BITS)), F.lit(0)).alias("bits"))
+    whole = set_bits.groupBy("filter", "word").agg(F.bit_or("bits").alias("bits"))
+    listed = whole.groupBy("filter").agg(F.collect_list(F.struct("word", "bits")).alias("some"))
+    # Words without a key are put in between.
+    blank = F.array_except(F.sequence(F.lit(0), F.lit(each - 1)), F.col("some.word"))
+    blank = F.arrays_zip(blank, F.array_repeat(F.lit(0).cast("long"), F.size(blank))).cast("array<struct<word:int,bits:bigint>>")
+    listed = listed.select("filter", F.sort_array(F.concat(F.col("some").cast("array<struct<word:int,bits:bigint>>"), blank)).alias("all"))
     return listed.select(
         F.floor(F.col("filter") / slices).cast("int").alias("bucket"), (F.col("filter") % slices).cast("int").alias("slice"),
         F.lit(slices).alias("slices"), F.col("all.bits").alias("words"))
@@ -74,9 +90,9 @@ def build_filters(rows: DataFrame, keys: Sequence[str], bucket: str, buckets: in
 def suspected(rows: DataFrame, keys: Sequence[str], bucket: str, filters: DataFrame) -> DataFrame:
     """The distinct rows whose key some filter of their bucket can't rule out. ``filters`` may hold several
     of a bucket, of different sizes."""
-    at, bits = _place(keys)
+    at, h = _hashes(keys)
     sizes = filters.select(F.col("slices").alias("__slices")).distinct()  # powers of two, so a few at most
-    placed = rows.withColumns({"__at": at, "__bits": bits}).crossJoin(F.broadcast(sizes)).withColumn(
+    placed = rows.withColumns({"__at": at, "__bits": _bits(h)}).crossJoin(F.broadcast(sizes)).withColumn(
         "__slice", _slice_of(F.col("__at"), F.col("__slices")))
     held = filters.select(F.col("bucket").alias("__of"), F.col("slices").alias("__in"), F.col("slice").cast("long").alias("__part"), "words")
     # The bits are tried in the join, so no row carries a filter with it.

@@ -195,9 +195,14 @@ class LoadSet:
         if version is not None:
             return version
         part, tables = uuid.uuid4().hex, model.tables()
-        entries = self._together(lambda t: self._write(part, t, tables[t]), tables)
-        entries += self._sums([], self._rows([_entry(e) for e in entries], "claims"), None, part, anew=True)
-        return self._commit(commits, batch_id, "reload", part, entries)
+
+        def write(table: str) -> list[tuple]:
+            written = self._write(part, table, tables[table])
+            if table == "claims":  # while the bridges are still written
+                written += self._sums([], self._rows([_entry(e) for e in written], "claims"), None, part, anew=True)
+            return written
+
+        return self._commit(commits, batch_id, "reload", part, self._together(write, tables))
 
     def insert(self, batch_id: str, tables: dict[str, DataFrame]) -> int:
         """Adds the rows with new keys; the version that holds the batch."""

@@ -12,8 +12,9 @@ from two joins and two aggregations:
 * the two bridges are ``DISTINCT`` pairs from ``lineitem`` (partial
   aggregation before the shuffle). The "first code of the claim" flag is a
   per-claim ``min`` computed by aggregation and left-joined back, not by a
-  window, so one claim with a huge number of lines never lands in a single
-  task; when a report does not select the flag, Catalyst drops the join.
+  window, so one claim with a huge number of codes never lands in a single
+  task; when a report does not select the flag, Catalyst drops the join. A
+  claim's injuries are aggregated to one row of bits.
 
 Every function returns a lazy DataFrame: nothing is computed until a report
 runs, and only the columns a report needs are read from Parquet.
@@ -152,19 +153,23 @@ def medical_codes(part: DataFrame) -> DataFrame:
     )
 
 
-def _first_of_claim(pairs: DataFrame, item: str) -> DataFrame:
-    """Add ``is_first``: the pair holds the smallest ``item`` of its claim.
+def _pairs_of_claims(lines: DataFrame, item: str, n_lines: int) -> DataFrame:
+    """(claim_id, item, is_first): the distinct pairs; ``is_first``: the pair holds the smallest ``item`` of its claim.
 
-    The per-claim minimum is an aggregation (partial, then shuffled by claim)
-    and left-joined back on the claim id; AQE's skew-join handling splits a
-    claim with an outsized number of pairs. Every pair's claim has a minimum,
-    so the left join equals an inner join, and being a left join against a
-    grouped (unique) key it is removed by the optimizer when the flag is unused.
+    The per-claim minimum is an aggregation of the lines (partial, then shuffled by claim). It meets
+    the pairs on claim and item, by which they lie already, so the pairs are moved once and a claim
+    with an outsized number of pairs is spread over the tasks. Being a left join against a grouped
+    (unique) key it is removed by the optimizer when the flag is unused. A pair with a NULL is
+    neither first nor not.
     """
-    firsts = pairs.groupBy("claim_id").agg(F.min(item).alias("_first"))
-    return pairs.join(firsts, "claim_id", "left").select(
-        "claim_id", item, (F.col(item) == F.col("_first")).alias("is_first")
-    )
+    pairs = _distinct_pairs(lines, n_lines)
+    known = lines.filter(F.col("claim_id").isNotNull() & F.col(item).isNotNull())
+    firsts = known.groupBy("claim_id").agg(F.min(item).alias("_first")).withColumnRenamed("claim_id", "_claim")
+    if n_lines > PLAIN_LINES:
+        firsts = firsts.hint("shuffle_hash")  # LINES_PER_TASK of them in a task at most
+    met = pairs.join(firsts, (F.col("claim_id") == F.col("_claim")) & (F.col(item) == F.col("_first")), "left")
+    flag = F.when(F.col("claim_id").isNotNull() & F.col(item).isNotNull(), F.col("_claim").isNotNull())
+    return met.select("claim_id", item, flag.alias("is_first"))
 
 
 def _distinct_pairs(pairs: DataFrame, n_lines: int) -> DataFrame:
@@ -177,10 +182,8 @@ def _distinct_pairs(pairs: DataFrame, n_lines: int) -> DataFrame:
 
 
 def claim_medical_codes(lineitem: DataFrame, n_lines: int = 0) -> DataFrame:
-    pairs = _distinct_pairs(lineitem.select(
-        F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("medical_code_id")
-    ), n_lines)
-    return _first_of_claim(pairs, "medical_code_id").select(
+    lines = lineitem.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("medical_code_id"))
+    return _pairs_of_claims(lines, "medical_code_id", n_lines).select(
         "claim_id",
         "medical_code_id",
         F.when(F.col("is_first"), "Primary").otherwise("Secondary").alias("code_role"),
@@ -202,13 +205,23 @@ def injury_types(spark: SparkSession) -> DataFrame:
 
 
 def claim_injuries(lineitem: DataFrame, n_lines: int = 0) -> DataFrame:
-    pairs = _distinct_pairs(lineitem.select(
-        F.col("l_orderkey").alias("claim_id"),
-        (F.lit(1) + F.col("l_partkey") % N_INJURY_TYPES).alias("injury_type_id"),
-    ), n_lines)
-    return _first_of_claim(pairs, "injury_type_id").select(
-        "claim_id", "injury_type_id", F.col("is_first").alias("is_primary"), _created_at()
-    )
+    """A remainder has few values, so a claim's distinct injuries are the bits of one number: however many
+    lines a claim has, it is one row until its pairs are listed. Many lines are dealt as in ``_distinct_pairs``."""
+    least, ids = 2 - N_INJURY_TYPES, 2 * N_INJURY_TYPES - 1  # of a negative part key the remainder is negative
+    assert ids < 63, "bits of a long"
+    one, bit = F.lit(1).cast("long"), F.col("_bit")
+    item = F.lit(1) + F.col("l_partkey") % N_INJURY_TYPES
+    place = F.coalesce((item - least).cast("int"), F.lit(ids))  # NULL has the highest bit
+    lines = lineitem.select(F.col("l_orderkey").alias("claim_id"), F.call_function("shiftleft", one, place).alias("_bits"))
+    if n_lines > PLAIN_LINES:
+        lines = lines.repartition(-(-n_lines // LINES_PER_TASK), "claim_id")
+    of_claim = lines.groupBy("claim_id").agg(F.bit_or("_bits").alias("_bits"))
+    own = F.call_function("shiftleft", one, bit)
+    pairs = of_claim.withColumn("_bit", F.explode(F.array(*[F.lit(i) for i in range(ids + 1)]))).filter(F.col("_bits").bitwiseAND(own) != 0)
+    known = F.col("claim_id").isNotNull() & (bit < ids)
+    return pairs.select(
+        "claim_id", F.when(bit < ids, (bit + least).cast("long")).alias("injury_type_id"),
+        F.when(known, F.col("_bits").bitwiseAND(-F.col("_bits")) == own).alias("is_primary"), _created_at())
 
 
 class DerivedModel(ClaimsModel):

@@ -213,3 +213,27 @@ def test_cascade_stores_only_the_claims_beside_its_set(spark, small_model, monke
     assert written == ["rest-claims"]
     for t in ("claims", "claim_medical_codes", "claim_injuries"):
         assert left[t] == small_model.tables()[t].join(gone, "claim_id", "left_anti").count()
+
+
+def test_filters_hold_every_word_and_shuffle_no_blank_ones(spark):
+    """A key travels as two numbers; words and filters without a key are made where the filter is listed."""
+    rows = spark.createDataFrame([(i, i % 2) for i in range(40)], "k long, bucket int")
+    filters = build_filters(rows, ["k"], "bucket", 3, 4 * SLICE_WORDS)
+    plan = filters._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and f"Range (0, {3 * 4}," in plan
+    found = filters.collect()
+    assert sorted((r["bucket"], r["slice"]) for r in found) == [(b, s) for b in range(3) for s in range(4)]
+    assert all(len(r["words"]) == SLICE_WORDS for r in found)
+    marked = {b: sum(w != 0 for r in found if r["bucket"] == b for w in r["words"]) for b in range(3)}
+    assert 0 < marked[0] <= 20 and 0 < marked[1] <= 20 and marked[2] == 0
+    assert suspected(rows, ["k"], "bucket", filters).count() == 40
+
+
+def test_sums_are_kept_while_bridges_are_written(spark, store, small_model, monkeypatch):
+    """The claims' sums don't wait for the bridges."""
+    done, sums = [], store._sums
+    monkeypatch.setattr(store, "_sums", lambda *a, **kw: (sums(*a, **kw), done.append("sums"))[0])
+    together = store._together
+    monkeypatch.setattr(store, "_together", lambda write, tables: (together(write, tables), done.append(len(list(tables))))[0])
+    store.reload("all", small_model)
+    assert done == [3, "sums", 6] and close(kept(store), recomputed(small_model))

@@ -145,3 +145,34 @@ def test_many_lines_are_dealt_by_their_number(spark, monkeypatch):
         assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
         plan = dealt.select("claim_id")._jdf.queryExecution().executedPlan().toString()
         assert ", 31), REPARTITION_BY_NUM" in plan
+
+
+def test_bridges_move_their_lines_once(spark, monkeypatch):
+    """Pairs aren't moved again for the first of their claim, and a claim's injuries are one row; rows with
+    NULLs and negative keys are as by the definition."""
+    rows = [(i % 40, i * 7 % 90 - 30) for i in range(300)] + [(None, 1), (None, 1), (None, -3), (3, None), (90, None), (90, None), (None, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long")
+    monkeypatch.setattr(tpch, "PLAIN_LINES", 100)
+
+    def expected(item):
+        pairs = {(k, item(p)) for k, p in rows}
+        least = {}
+        for k, v in pairs:
+            if k is not None and v is not None:
+                least[k] = min(v, least.get(k, v))
+        return {(k, v, None if k is None or v is None else v == least[k]) for k, v in pairs}
+
+    def remainder(p):
+        return None if p is None else 1 + (p % 16 if p >= 0 else -(-p % 16))
+
+    codes, injuries = tpch.claim_medical_codes(lines, len(rows)), tpch.claim_injuries(lines, len(rows))
+    want = expected(lambda p: p)
+    assert sorted(map(str, codes.select("claim_id", "medical_code_id", "code_role").collect())) == sorted(
+        str(r) for r in spark.createDataFrame([(k, v, "Primary" if f else "Secondary") for k, v, f in want],
+                                              "claim_id long, medical_code_id long, code_role string").collect())
+    assert injuries.count() == len(expected(remainder))
+    assert {tuple(r) for r in injuries.select("claim_id", "injury_type_id", "is_primary").collect()} == expected(remainder)
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ShuffledHashJoin [claim_id#" in plan and "SortMergeJoin" not in plan
+    plan = injuries._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
